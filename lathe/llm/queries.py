@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import packing, quality, simhash, substring, suffix, toxicity
+from lathe.llm import fingerprint, packing, piece, quality, simhash, substring, suffix, toxicity
 from lathe.llm.common import crc_mod, table
 
 
@@ -38,6 +38,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Path(tokenizer("byte_bpe_50k.json")).read_bytes(), window=2048, end=1)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece.encode_documents(table(spark, sf_dir, "documents"), Path(tokenizer("piece_bpe_32k.model")).read_bytes())
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), size=100, text=False)
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
 }

@@ -102,20 +102,26 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     ids = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    cuts = ids.agg(F.expr(f"percentile_approx(id, sequence(1, {n - 1}) / {n}, 20000)")).first()[0] or [] if n > 1 else []
-    cuts = sorted(set(cuts))
-    # Bucket 0 holds the largest ids: the number of cuts that are at least the id.
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("id")))
+    cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20_000)).first()[0] or [] if n > 1 else []
+    cuts = sorted(set(cuts), reverse=True)
+
+    def search(first: int, last: int):
+        """The bucket among first..last, by halves: bucket i has the ids above cuts[i] and not above cuts[i - 1]."""
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(F.col("id") > F.lit(cuts[middle]), search(first, middle)).otherwise(search(middle + 1, last))
+
+    bucket = search(0, len(cuts))
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id")).withColumn("bucket", bucket)
-    # First row of each bucket: largest id, then smallest text by its hash and itself; one row per bucket, at most len(cuts) + 1.
+    # The largest id of each bucket: one row per bucket, at most n.
     heads = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()
     # A bucket's last row is followed by the first row of the next bucket that has any; after the last bucket comes the first.
-    follows = {h.id: heads[i - 1].bucket for i, h in enumerate(heads)}
-    ghost = F.lit(None).cast("int")
-    if follows:
-        ghost = F.element_at(F.create_map(*[F.lit(x) for kv in follows.items() for x in kv]), F.col("id"))
+    first = {h.bucket: (h.id, heads[i - 1].bucket) for i, h in enumerate(heads)}
+    known = [first.get(i, (None, None)) for i in range(len(cuts) + 1)]
+    at = F.col("bucket") + 1
+    head = F.element_at(F.array(*[F.lit(x).cast("long") for x, _ in known]), at)
+    ghost = F.when(F.col("id") == head, F.element_at(F.array(*[F.lit(x).cast("int") for _, x in known]), at))
     both = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ghost")), F.struct(ghost.alias("bucket"), F.lit(True).alias("ghost")))
     placed = keyed.withColumn("at", F.explode(F.filter(both, lambda x: x["bucket"].isNotNull()))).select("at.bucket", "at.ghost", "id", "doc_id", "text")
     return placed.repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.desc("id"), "text")

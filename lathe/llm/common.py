@@ -103,3 +103,32 @@ def record_batches(columns: dict[str, tuple], size: int = 1 << 16) -> Iterator[p
     whole = pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
     for at in range(0, whole.num_rows, size):
         yield whole.slice(at, size)
+
+
+def rewritten(docs: DataFrame, make_decide, spans: DataFrame | None = None) -> DataFrame:
+    """docs, all its columns, less rejected rows and with new texts. make_decide() gives, in each task, a function of the texts
+    (and their spans, if spans(doc, spans) is given) that returns for each its new text, or None to reject it. n_chars follows."""
+    schema = docs.schema
+    names = docs.columns
+    spanned = spans is not None
+    if spanned:
+        docs = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(spans.toDF("__doc", "__spans"), "__doc", "left").drop("__doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = make_decide()
+        for b in batches:
+            raw = texts(b.column("text"))
+            new = decide(raw, b.column("__spans").to_pylist()) if spanned else decide(raw)
+            keep = pa.array([x is not None for x in new], pa.bool_())
+            same = all(x is None or x is y for x, y in zip(new, raw, strict=True))
+            cols = [b.column(n) for n in names]
+            if not same:
+                text = pa.array([None if x is None else x for x in new], pa.binary()).cast(pa.string())
+                cols[names.index("text")] = text.cast(b.schema.field("text").type)
+                if "n_chars" in names:
+                    at = names.index("n_chars")
+                    size = [None if x is None else len(x.decode("utf-8", "replace")) for x in new]
+                    cols[at] = pa.array([s if x is not y else old for s, x, y, old in zip(size, new, raw, cols[at].to_pylist(), strict=True)], cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
+
+    return docs.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lathe.llm.common import batch_limits, texts
+from lathe.llm.common import batch_limits, rewritten, texts
 
 SYMBOLS = b"#*$%&|<>"
 #: Phrases of licence, cookie, copyright and site lines, in lower case.
@@ -137,3 +137,17 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text: b
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """docs with all its columns: rejected rows go, failing lines are taken out of the others."""
+    batch_limits(docs.sparkSession)
+
+    def decide(raw: list[bytes]) -> list[bytes | None]:
+        out = []
+        for x in raw:
+            *_, kept, _, clean = judged(x, rules)
+            out.append(clean if kept else None)
+        return out
+
+    return rewritten(docs, lambda: decide)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import batch_limits, partitions, record_batches, staged, texts
+from lathe.llm.common import NULL_ID, batch_limits, partitions, record_batches, staged, texts
 from lathe.llm.graph import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -177,3 +177,11 @@ def near_duplicates(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> Da
     named = named.join(ids, "root").select("fp", "component_id")
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
+    """docs with all its columns: of each component the row with the smallest doc_id (of several, one). Rows with a null doc_id
+    stay only where their component has no other."""
+    least = near_duplicates(docs, rules).groupBy(F.coalesce("component_id", F.lit(NULL_ID)).alias("__doc")).agg(F.lit(1).alias("__n")).select("__doc")
+    keyed = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+    return keyed.join(least, "__doc", "left_semi").dropDuplicates(["__doc"]).select(*docs.columns)

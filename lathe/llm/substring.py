@@ -8,6 +8,7 @@ intervals, and windows whose interval holds an earlier occurrence are reported.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import NULL_ID, batch_limits, texts
+from lathe.llm.common import NULL_ID, batch_limits, rewritten, texts
 from lathe.llm.regions import Windows, repeated, unite
 
 
@@ -120,6 +121,21 @@ def repeats(regions: list[bytes], starts: list[int], size: int) -> list[np.ndarr
     return np.split(hit, np.cumsum([len(w) for w in which])[:-1])
 
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def outside(items: list, gone: list[tuple[int, int]]) -> list:
+    if not gone:
+        return items
+    cut = [0, *(v for xy in gone for v in xy), len(items)]
+    return [w for x, y in zip(cut[::2], cut[1::2], strict=True) for w in items[x:y]]
+
+
+def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
+    """text less the words in gone and the white space after each; unchanged if nothing is."""
+    return b"".join(outside(WORD.findall(text), gone)) if gone else text
+
+
 def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 4, text: bool = True) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 and, with text, the text less what is removed, and the spans.
 
@@ -128,13 +144,10 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 4, text: bool =
     keep the white space after them. Null texts have no words; a null id counts as the smallest; rows that repeat a doc_id are
     one document for what is earlier, and get the spans of both where their texts differ.
     """
-    import re
-
     batch_limits(docs.sparkSession)
     spans = repeated(docs, Windows(words=True, size=size, gram=gram), lambda regions, starts: repeats(regions, starts, size))
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc")).join(spans, "doc", "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    word = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,13 +156,8 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 4, text: bool =
                 words = t.split()
                 gone = unite(s, len(words))
                 n = sum(y - x for x, y in gone)
-                whole = t
-                if gone:
-                    cut = [0, *(v for xy in gone for v in xy), len(words)]
-                    keep = lambda items: [w for x, y in zip(cut[::2], cut[1::2], strict=True) for w in items[x:y]]  # noqa: B023, E731
-                    if text:
-                        whole = b"".join(keep(word.findall(t)))
-                    words = keep(words)
+                whole = without(t, gone) if text else b""
+                words = outside(words, gone)
                 out.append((n + len(words), n, hashlib.sha256(b" ".join(words)).hexdigest(), whole, gone))
             cols = [b.column("doc_id").cast(pa.int64()), *(pa.array([r[i] for r in out], k) for i, k in enumerate([pa.int64()] * 2 + [pa.string()]))]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -159,3 +167,13 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 4, text: bool =
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return keyed.mapInArrow(run, schema + ", kept_text string, removed array<struct<a: long, b: long>>" * text)
+
+
+def keep_first_passages(docs: DataFrame, size: int = 20, gram: int = 4) -> DataFrame:
+    """docs with all its columns, texts less their repeated words."""
+    spans = repeated(docs, Windows(words=True, size=size, gram=gram), lambda regions, starts: repeats(regions, starts, size))
+
+    def decide(raw: list[bytes], found: list) -> list[bytes | None]:
+        return [without(t, unite(s, len(t.split()))) if s else t for t, s in zip(raw, found, strict=True)]
+
+    return rewritten(docs, lambda: decide, spans)

@@ -437,7 +437,7 @@ def disjunction(xs: list[Lowered]) -> Lowered:
 
 
 def terms(c: Compiler, p: Any) -> list[Lowered]:
-    if isinstance(p, dict) and not any(ALIASES.get(k, k) in OPERATORS for k in p) and "when" not in p:
+    if isinstance(p, dict) and not any(ALIASES.get(k, k) in OPERATORS for k in p) and not {"when", "from"} & set(p):
         return [x for k, v in p.items() for x in (c(k), literal_side(c, v))]
     return [c(x) for x in p] if isinstance(p, (list, tuple)) else [c(p)]
 

@@ -39,7 +39,7 @@ def paragraphs(text: bytes) -> list[bytes]:
         for i, w in enumerate(words):
             # The sum of a word's end bytes is hash enough to choose a place.
             if (w[-1] * 31 + len(w) * 17 + w[0] * 7 if w else 0) % PART_WORDS == 0:
-                out.append(b" ".join(words[start : i + 1]))
+                out.append(b" ".join(words[start : i + 1]) + b" " * (i + 1 < len(words)))
                 start = i + 1
         out.append(b" ".join(words[start:]))
     return [x for x in out if x]

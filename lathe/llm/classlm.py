@@ -165,28 +165,37 @@ def by_document(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, logs double, known long")
 
 
-class Symbols:
-    """Numbers of words: frequent ones from 0, then the end, then shapes."""
+class Numbers(dict):
+    """Numbers of words met: own's as given, others' by shape from `first` on. The memory is bounded."""
 
     LIMIT = 1 << 19
 
+    def __init__(self, own: dict[bytes, int], first: int):
+        super().__init__(own)
+        self.own, self.first = own, first
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.LIMIT:
+            self.clear()
+            self.update(self.own)
+            if word in self:
+                return self[word]
+        n = self[word] = self.first + shape(word)
+        return n
+
+
+class Symbols:
+    """Numbers of words: frequent ones from 0, then the end, then shapes."""
+
     def __init__(self, frequent: list[bytes]):
         self.end = len(frequent)
         self.size = self.end + 1 + SHAPES
-        self.own = {w: i for i, w in enumerate(frequent)}
-        self.known: dict[bytes, int] = dict(self.own)
+        self.numbers = Numbers({w: i for i, w in enumerate(frequent)}, self.end + 1)
 
     def of(self, text: bytes) -> np.ndarray:
         """end, the words' numbers, end."""
         words = text.translate(LOWER).split()
-        known = self.known
-        if new := set(words) - known.keys():
-            if len(known) > self.LIMIT:
-                known.clear()
-                known.update(self.own)
-                new = set(words) - known.keys()
-            known.update((w, self.end + 1 + shape(w)) for w in new)
-        return np.fromiter((self.end, *map(known.__getitem__, words), self.end), np.int64, len(words) + 2)
+        return np.fromiter((self.end, *map(self.numbers.__getitem__, words), self.end), np.int64, len(words) + 2)
 
 
 def pair_counts(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
@@ -236,7 +245,8 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int) -> np.nda
             grid[:, a] -= col
             grid[a, a] -= self_count
             out_w, in_w = row.sum() + self_count, col.sum() + self_count
-            left, right = grid.sum(axis=1)[:classes], grid.sum(axis=0)[:classes]
+            # Wherever w goes, what precedes it counts for the classes before, and what follows for those after.
+            left, right = grid.sum(axis=1)[:classes] + col[:classes], grid.sum(axis=0)[:classes] + row[:classes]
             rows, cols = grid[:classes], grid[:, :classes].T
             gain = (xlogx(rows + row) - xlogx(rows)).sum(axis=1) + (xlogx(cols + col) - xlogx(cols)).sum(axis=1)
             d = np.arange(classes)

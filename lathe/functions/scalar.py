@@ -378,9 +378,12 @@ class Compiler:
                 return made[0].col
 
             col = F.transform(col, pick)
+            if made[0] is not None:
+                element = SPARK_TYPES.get(made[0].kind) or made[0].dtype or element
         return Lowered(F.when(F.size(col) > 0, col), "array", T.ArrayType(element))
 
 
+SPARK_TYPES = {"text": T.StringType(), "integer": T.LongType(), "boolean": T.BooleanType(), "number": T.DoubleType(), "time": T.DoubleType(), "interval": T.DoubleType()}
 OPERATORS: dict[str, Callable[[Compiler, Any, dict], Lowered]] = {}
 MODIFIERS = ("default", "nulls", "separator", "start", "comment", "name")
 ALIASES = {
@@ -647,7 +650,8 @@ def over_terms(many: Callable[[list[Column]], Column], array: Callable[[Column],
             xs = list(xs[0].parts)
         if len(xs) == 1 and xs[0].kind == "array" and isinstance(xs[0].dtype, T.ArrayType):
             element = xs[0].dtype.elementType
-            nums = F.filter(F.transform(xs[0].col, lambda e: number(of_column(e, element)).cast("double")), lambda e: e.isNotNull())
+            value_of = (lambda e: of_column(e, element).col) if kind == "integer" else (lambda e: number(of_column(e, element)).cast("double"))
+            nums = F.filter(F.transform(xs[0].col, value_of), lambda e: e.isNotNull())
             value, out_kind = array(nums), kind or "number"
         else:
             live = [x for x in xs if x.kind != "null"]

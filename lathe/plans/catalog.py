@@ -172,9 +172,106 @@ def _store():
 
 
 query("table_update", lambda e: _store().update(e.table("customer").select("c_custkey", "c_acctbal"), set={"c_acctbal": 0}, where={"lt": {"c_acctbal": 0}}), "SELECT c_custkey, greatest(c_acctbal, 0) AS c_acctbal FROM customer")
-query("table_delete", lambda e: _store().delete(e.table("customer").select("c_custkey"), {"eq": {"c_mktsegment": "BUILDING"}}) if False else _store().delete(e.table("customer").select("c_custkey", "c_mktsegment"), {"eq": {"c_mktsegment": "BUILDING"}}), "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
+query("table_delete", lambda e: _store().delete(e.table("customer").select("c_custkey", "c_mktsegment"), {"eq": {"c_mktsegment": "BUILDING"}}), "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
 query("table_upsert", lambda e: _store().upsert(e.table("nation").select("n_nationkey", "n_name"), e.table("region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name")), ["n_nationkey"]), "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region) UNION ALL SELECT r_regionkey, r_name FROM region")
 query("table_insert_new", lambda e: _store().insert_new(e.table("region"), e.table("nation").select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name")), ["r_regionkey"]), "SELECT * FROM region UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)")
 query("table_condense", lambda e: _store().condense(e.table("events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id"), "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 query("table_violations", lambda e: _store().violations(e.table("part").select("p_partkey", "p_size"), {"lte": {"p_size": 40}}), "SELECT p_partkey, p_size FROM part WHERE p_size > 40")
 query("meta_tables", {"from": "meta.tables", "select": ["name"]}, "SELECT unnest(['region','nation','customer','supplier','part','orders','lineitem','events','documents','embeddings','pages','benchmark','labels','conversations']) AS name")
+
+
+# Sequences, lists and sets
+
+
+def _lazy(module: str, f: Callable[[Any, Engine], DataFrame]) -> Callable[[Engine], DataFrame]:
+    """f(module, engine), with the module imported when the query runs."""
+    from importlib import import_module
+
+    return lambda e: f(import_module(module), e)
+
+
+_WINDOWS, _LISTS, _STATS = "lathe.operators.windows", "lathe.operators.lists", "lathe.functions.stats"
+_ORDERS = lambda e: e.table("orders").select("o_custkey", "o_orderkey")
+query("seq_pairwise", _lazy(_WINDOWS, lambda m, e: m.pairwise(_ORDERS(e), "o_orderkey", ["o_orderkey"], ["o_custkey"]).select("o_custkey", "a", "b")), "SELECT * FROM (SELECT o_custkey, o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL")
+query("seq_slide", _lazy(_WINDOWS, lambda m, e: m.slide(_ORDERS(e), "o_orderkey", 3, ["o_orderkey"], ["o_custkey"]).select("o_orderkey", F.element_at("window", 3).alias("third"))), "SELECT * FROM (SELECT o_orderkey, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS third FROM orders) WHERE third IS NOT NULL")
+query("seq_accumulate", _lazy(_WINDOWS, lambda m, e: m.accumulate(_ORDERS(e), "o_orderkey", ["o_orderkey"], ["o_custkey"])), "SELECT o_custkey, o_orderkey, coalesce(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS total FROM orders")
+query("seq_countdown", _lazy(_WINDOWS, lambda m, e: m.countdown(_ORDERS(e), ["o_orderkey"], ["o_custkey"])), "SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS \"left\" FROM orders")
+query("seq_prefixes", _lazy(_WINDOWS, lambda m, e: m.prefixes(_ORDERS(e), "o_orderkey", ["o_orderkey"], ["o_custkey"]).select("o_orderkey", F.size("prefix").alias("n"))), "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders")
+query("seq_holes", _lazy(_WINDOWS, lambda m, e: m.holes(e.table("orders").where("o_orderkey % 7 <> 3").withColumn("k", F.floor(F.col("o_orderkey") / 100)), "o_orderkey", ["k"])), "SELECT k, o_orderkey + 1 AS min, n AS max FROM (SELECT o_orderkey, floor(o_orderkey / 100.0) AS k, lead(o_orderkey) OVER (PARTITION BY floor(o_orderkey / 100.0) ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 7 <> 3) WHERE n > o_orderkey + 1")
+query("seq_running_variance", _lazy(_WINDOWS, lambda m, e: m.cumulative_variance(_ORDERS(e), "o_orderkey", ["o_orderkey"], ["o_custkey"]).select("o_orderkey", F.round("variance", 4).alias("v"))), "SELECT o_orderkey, round(var_pop(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS v FROM orders")
+query("seq_segments", _lazy(_WINDOWS, lambda m, e: m.segments(e.table("events"), ["event_type"], "ts", "value")))
+query("list_chunk", _lazy(_LISTS, lambda m, e: m.chunk(e.table("customer").select("c_custkey"), 7, ["c_custkey"])), "SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 7 AS chunk FROM customer")
+query("list_runs", _lazy(_LISTS, lambda m, e: m.contiguous_groups(e.table("orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_orderstatus", ["o_orderkey"], ["o_custkey"]).groupBy("o_custkey").agg((F.max("group") + 1).alias("runs"))), "SELECT o_custkey, 1 + sum(CASE WHEN p <> o_orderstatus THEN 1 ELSE 0 END) AS runs FROM (SELECT o_custkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders) GROUP BY 1")
+query("list_index", _lazy(_LISTS, lambda m, e: m.index(e.table("nation").select("n_regionkey", "n_nationkey"), ["n_regionkey"]).select("n_regionkey", F.size("rows").alias("n"))), "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+query("list_unique_index", _lazy(_LISTS, lambda m, e: m.unique_index(e.table("nation").select("n_nationkey", "n_name"), ["n_nationkey"])), "SELECT n_nationkey, n_name FROM nation")
+query("list_multiset", _lazy(_LISTS, lambda m, e: m.multiset_add(m.multiset(e.table("customer"), ["c_nationkey"]), m.multiset(e.table("supplier").withColumnRenamed("s_nationkey", "c_nationkey"), ["c_nationkey"]), ["c_nationkey"], -1)), "SELECT c_nationkey, sum(n) AS count FROM (SELECT c_nationkey, 1 AS n FROM customer UNION ALL SELECT s_nationkey, -1 FROM supplier) GROUP BY 1 HAVING sum(n) <> 0")
+query("list_zip", _lazy(_LISTS, lambda m, e: m.zipped(e.table("nation").select("n_name"), e.table("region").select("r_name"), ["n_name"], ["r_name"])), "SELECT n_name, r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation) FULL JOIN (SELECT r_name, row_number() OVER (ORDER BY r_name) AS i FROM region) USING (i)")
+query("list_map_to_set", _lazy(_LISTS, lambda m, e: m.map_to_set(e.table("part").select(F.split("p_type", " ").alias("w")), "w")), "SELECT DISTINCT unnest(string_split(p_type, ' ')) AS value FROM part")
+query("set_intersection", _lazy(_LISTS, lambda m, e: m.intersection(e.table("customer").select("c_custkey"), e.table("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+query("set_difference", _lazy(_LISTS, lambda m, e: m.difference(e.table("customer").select("c_custkey"), e.table("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+query("cube_divide", _lazy(_LISTS, lambda m, e: (m.Cube(e.table("orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")), ["o_orderstatus", "o_orderpriority"], "n") / m.Cube(e.table("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), ["o_orderstatus"], "n")).df), "SELECT o_orderstatus, o_orderpriority, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY o_orderstatus) AS n FROM orders GROUP BY 1, 2")
+query("stats_trimmed", _lazy(_STATS, lambda m, e: m.trimmed(e.table("part"), "p_size", 0.8, ["p_brand"]).select("p_brand", "count", F.round("mean", 6).alias("mean"))), "SELECT p_brand, count(*) AS count, round(avg(p_size), 6) AS mean FROM part JOIN (SELECT p_brand, quantile_cont(p_size, 0.1) AS a, quantile_cont(p_size, 0.9) AS b FROM part GROUP BY 1) USING (p_brand) WHERE p_size BETWEEN a AND b GROUP BY 1")
+query("stats_bayesian", _lazy(_STATS, lambda m, e: e.table("lineitem").select("l_orderkey", "l_linenumber", F.round(m.bayesian_add(F.col("l_tax") + 0.1, F.lit(0.3)), 9).alias("p"))), "SELECT l_orderkey, l_linenumber, round((l_tax + 0.1) * 0.3 / ((l_tax + 0.1) * 0.3 + (1 - (l_tax + 0.1)) * 0.7), 9) AS p FROM lineitem")
+
+# Graphs: nations and regions as a tree
+
+_EDGES = lambda e: e.table("nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst")).unionByName(e.table("region").select(F.lit("top").alias("src"), F.concat(F.lit("r"), "r_regionkey").alias("dst")))
+query("graph_bfs", _lazy("lathe.operators.graph", lambda m, e: m.bfs(_EDGES(e), e.spark.createDataFrame([("top",)], "node string"))), "SELECT 'top' AS node, 0 AS depth UNION ALL SELECT 'r' || r_regionkey, 1 FROM region UNION ALL SELECT 'n' || n_nationkey, 2 FROM nation")
+query("graph_dominator_tree", _lazy("lathe.operators.graph", lambda m, e: m.dominator_tree(_EDGES(e), "top")), "SELECT 'r' || r_regionkey AS node, 'top' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation")
+
+
+# Streams, SQL text, templates
+
+
+def _fluent(e: Engine) -> DataFrame:
+    from lathe.streaming.fluent import it, stream
+
+    return stream(e.table("part")).filter((it.p_size > 10) & (it.p_brand != "Brand#11")).map({"key": it.p_partkey, "double": it.p_size * 2, "brand": it.p_brand}).df
+
+
+query("stream_chain", _fluent, "SELECT p_partkey AS key, p_size * 2 AS double, p_brand AS brand FROM part WHERE p_size > 10 AND p_brand <> 'Brand#11'")
+
+
+def _windows(e: Engine) -> DataFrame:
+    from lathe.streaming import events
+
+    return events.tumbling(e.table("events"), "ts", "1 day", ["event_type"], F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).select(F.unix_seconds("start").alias("day"), "event_type", "n", F.round("v", 4).alias("v"))
+
+
+query("window_tumbling", _windows, "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
+
+
+def _sessions(e: Engine) -> DataFrame:
+    from lathe.streaming import events
+
+    return events.sessions(e.table("events"), "ts", "6 hours", ["user_id"], F.count(F.lit(1)).alias("n")).select("user_id", F.unix_seconds("start").alias("start"), "n")
+
+
+query("window_session", _sessions, "SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)) GROUP BY user_id, s")
+
+
+def _sql(text: str) -> Callable[[Engine], DataFrame]:
+    def run(e: Engine) -> DataFrame:
+        from lathe.plans import sqltext
+
+        return sqltext.run(e.spark, text, {t: e.table(t) for t in TABLES if t in text})
+
+    return run
+
+
+query("sql_join", _sql("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"), "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+query("sql_qualify", _sql("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1"), "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+query("sql_distinct_on", _sql("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_orderkey DESC"), "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+query("sql_top_ties", _sql("SELECT TOP 5 WITH TIES p_partkey, p_size FROM part ORDER BY p_size"), "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size) <= 5")
+query("sql_similar", _sql("SELECT p_partkey FROM part WHERE p_brand SIMILAR TO '^Brand#(1|2).$'"), "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#(1|2).')")
+query("sql_recursive", _sql("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, count(c_custkey) AS c FROM t LEFT JOIN customer ON c_nationkey = n GROUP BY n"), "SELECT n, count(c_custkey) AS c FROM range(1, 21) t(n) LEFT JOIN customer ON c_nationkey = n GROUP BY n")
+query("sql_set_operations", _sql("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier"), "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+
+
+def _template(e: Engine) -> DataFrame:
+    from lathe.functions.text import template
+
+    return e.table("nation").select("n_nationkey", template("{{n_name|lower|capitalize}} ({{n_regionkey}})", F.col).alias("t"))
+
+
+query("text_template", _template, "SELECT n_nationkey, upper(left(n_name, 1)) || lower(substr(n_name, 2)) || ' (' || n_regionkey || ')' AS t FROM nation")

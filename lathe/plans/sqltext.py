@@ -16,7 +16,8 @@ SIMPLE = [
 ]
 DISTINCT_ON = re.compile(r"^\s*SELECT\s+DISTINCT\s+ON\s*\(([^)]*)\)\s*(.*?)\s+FROM\s+(.*?)(?:\s+ORDER\s+BY\s+(.*?))?(\s+LIMIT\s+.*)?$", re.I | re.S)
 TOP = re.compile(r"^\s*SELECT\s+TOP\s*\(?\s*(\d+)\s*\)?\s*(PERCENT)?\s*(WITH\s+TIES)?\s+(.*?)(?:\s+ORDER\s+BY\s+(.*))?$", re.I | re.S)
-QUALIFY = re.compile(r"^(.*?)\bQUALIFY\b(.*?)(\s+(?:ORDER\s+BY|LIMIT)\b.*)?$", re.I | re.S)
+QUALIFY = re.compile(r"\bQUALIFY\b", re.I)
+TAIL = re.compile(r"\b(?:ORDER\s+BY|LIMIT)\b", re.I)
 
 
 def masked(sql: str) -> tuple[str, list[str]]:
@@ -29,6 +30,15 @@ def masked(sql: str) -> tuple[str, list[str]]:
     return OPAQUE.sub(put, sql), held
 
 
+def outside(pattern: re.Pattern, text: str) -> int | None:
+    """Where pattern first stands outside parentheses."""
+    for m in pattern.finditer(text):
+        before = text[: m.start()]
+        if before.count("(") == before.count(")"):
+            return m.start()
+    return None
+
+
 def rewrite(sql: str) -> str:
     """The statement in Spark's dialect."""
     text, held = masked(sql.strip().rstrip(";"))
@@ -47,10 +57,12 @@ def rewrite(sql: str) -> str:
             rank = "rank()" if ties else "row_number()"
             most = f"__n <= ceil({n} / 100.0 * __all)" if percent else f"__n <= {n}"
             text = f"SELECT * EXCEPT(__n, __all) FROM (SELECT {cols}, {rank} OVER ({by.strip() or 'ORDER BY 1'}) AS __n, count(*) OVER () AS __all FROM {frum}) WHERE {most}"
-    elif (m := QUALIFY.match(text)) and re.search(r"\bQUALIFY\b", text, re.I):
-        body, test, tail = m.groups()
+    elif (m := outside(QUALIFY, text)) is not None:
+        body, test = text[:m], text[m + len("QUALIFY") :]
+        end = outside(TAIL, test)
+        test, tail = (test, "") if end is None else (test[:end], " " + test[end:])
         cols, frum = re.split(r"\s+FROM\s+", re.sub(r"^\s*SELECT\s+", "", body, flags=re.I), maxsplit=1, flags=re.I)
-        text = f"SELECT * EXCEPT(__q) FROM (SELECT {cols}, ({test.strip()}) AS __q FROM {frum.strip()}) WHERE __q{tail or ''}"
+        text = f"SELECT * EXCEPT(__q) FROM (SELECT {cols}, ({test.strip()}) AS __q FROM {frum.strip()}) WHERE __q{tail}"
     return re.sub("\x01(\\d+)\x02", lambda m: held[int(m[1])], text)
 
 

@@ -139,17 +139,18 @@ def mann_whitney_p(left: np.ndarray, right: np.ndarray) -> float:
 
 
 def change_points(values: np.ndarray, size: int = 6, reach: int = 24, limit: float = 1e-3) -> list[int]:
-    """Places where values before and after differ. The least p within size places is taken, while it is below limit."""
-    n = len(values)
-    p = np.ones(n)
-    for i in range(size, n - size + 1):
-        p[i] = mann_whitney_p(values[max(0, i - reach) : i], values[i : i + reach])
+    """Places where values before and after differ: the place of least p divides a series while p is below limit, then each side is
+    looked at by itself. Segments have at least size values; up to reach values are compared on each side."""
     found: list[int] = []
-    for i in np.argsort(p, kind="stable").tolist():
-        if p[i] >= limit:
-            break
-        if all(abs(i - j) >= size for j in found):
-            found.append(i)
+    todo = [(0, len(values))]
+    while todo:
+        low, high = todo.pop()
+        places = range(low + size, high - size + 1)
+        p = [mann_whitney_p(values[max(low, i - reach) : i], values[i : min(high, i + reach)]) for i in places]
+        if p and min(p) < limit:
+            cut = places[int(np.argmin(p))]
+            found.append(cut)
+            todo += [(low, cut), (cut, high)]
     return sorted(found)
 
 

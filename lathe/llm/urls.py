@@ -111,7 +111,7 @@ class Boosted:
         return 1 / (1 + F.exp(-self.logit()))
 
 
-def train(labelled: DataFrame, names: list[str], trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0, sample: int = 100_000) -> Boosted:
+def train(labelled: DataFrame, names: list[str], trees: int = 6, depth: int = 2, bins: int = 16, rate: float = 0.5, ridge: float = 1.0, sample: int = 100_000) -> Boosted:
     """labelled(names..., y in 0, 1) -> trees. sample bounds the labelled rows: those first by hash of the features are taken.
 
     Cuts are quantiles of the sample. Each level is one query over the sample; its rows are at most 2 ** depth x features x bins.

@@ -82,7 +82,8 @@ class NestedScope(Scope):
 class Engine:
     """Runs queries over named tables. tables: names to DataFrames, or functions that give them; other names are views of the session."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None, scripting: bool = False, functions: dict[str, Callable] | None = None, limit: int | None = DEFAULT_LIMIT, now: float | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None, scripting: bool = False, functions: dict[str, Callable] | None = None, limit: int | None = DEFAULT_LIMIT, now: float | None = None, dimensions: dict[str, Any] | None = None):
+        self.dimensions = dimensions or {}
         self.spark, self.tables, self.scripting, self.functions, self.limit, self.now = spark, tables or {}, scripting, functions or {}, limit, now
 
     # sources
@@ -313,6 +314,7 @@ class Engine:
         limited to MAX_CELLS, is joined with the counts."""
         c = self.compiler(scope)
         spec = q["edges"] if isinstance(q["edges"], list) else [q["edges"]]
+        spec = [d for e in spec for d in self.dimension(e)]
         edges = [make_edge(e, c, df, limit or DEFAULT_LIMIT) for e in spec]
         items, bare = self.selects(q, scope, {"name": "count", "aggregate": "count"})
         cells = reduce(lambda a, e: a * (len(e.parts) + 1), edges, 1)
@@ -344,8 +346,34 @@ class Engine:
         out = out.select(*order, *shown).orderBy(*order)
         return Plan(out, [s.name for s in items], edges, kind="edges", whole=bare and len(items) == 1)
 
+    def dimension(self, e: Any) -> list[Any]:
+        """An edge, or those that a named dimension stands for: one edge, or several by their fields. A dotted name picks a part of a
+        tree of partitions, whose own partitions are then the edge's."""
+        if not isinstance(e, str):
+            return [e]
+        head, *rest = split_path(e)
+        if head not in self.dimensions:
+            return [e]
+        d = self.dimensions[head]
+        if "fields" in d:
+            return [{"name": f"{head}.{f}", "value": f} if isinstance(f, str) else f for f in d["fields"]]
+        parts = d.get("partitions")
+        for step in rest:
+            part = next((p for p in parts or () if p.get("name") == step), None)
+            if part is None:
+                raise ExpressionError(f"no part {step!r} in dimension {head!r}")
+            parts = part.get("partitions", [part])
+        domain = {"type": "set", "partitions": [{k: v for k, v in p.items() if k != "partitions"} for p in parts]} if parts else d.get("domain", "default")
+        return [{"name": e, "value": d.get("value"), "domain": domain, **{k: d[k] for k in ("allowNulls",) if k in d}}]
+
     # results
 
+    def extract(self, q: dict, path: str, form: str = "json", chunk_size: int | None = None, partition_by: list[str] | None = None) -> None:
+        """Writes all rows of q to files of at most chunk_size rows, from all tasks."""
+        from lathe.sources.store import write
+
+        write(self.frame(q), path, form, partition_by, **({"maxRecordsPerFile": chunk_size} if chunk_size else {}))
+
     def query(self, q: dict) -> Any:
         """Runs q and packages its result as format says."""
         from lathe.plans.formats import package

@@ -130,3 +130,16 @@ def test_filters_reach_the_scan(spark, small):
     for part in ("EqualTo(l_returnflag,R)", "LessThan(l_quantity,10.0)", "GreaterThanOrEqual(l_shipdate"):
         assert part in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string,l_shipdate:timestamp_ntz>" in plan
+
+
+def test_dimensions_and_extraction(spark, tmp_path):
+    tree = {"size": {"partitions": [
+        {"name": "big", "where": {"gte": {"v": 10}}, "partitions": [{"name": "odd", "where": {"eq": {"v": 11}}}, {"name": "rest", "where": {"gt": {"v": 11}}}]},
+        {"name": "small", "where": {"lt": {"v": 10}}},
+    ]}, "both": {"fields": ["a", "v"]}}
+    engine = Engine(spark, {"t": from_rows(spark, SIMPLE)}, dimensions=tree)
+    assert engine.query({"from": "t", "edges": ["size"], "format": "cube"})["data"]["count"] == [2, 3, 1]
+    assert engine.query({"from": "t", "edges": ["size.big"], "format": "cube"})["data"]["count"] == [1, 1, 4]
+    assert len(engine.query({"from": "t", "edges": ["both"], "format": "cube"})["edges"]) == 2
+    engine.extract({"from": "t"}, f"{tmp_path}/out", chunk_size=2)
+    assert spark.read.json(f"{tmp_path}/out").count() == len(SIMPLE)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import sys
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -12,12 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions go to the executors by value: they need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
+from lathe.plans.folders import shared_folder
 
 #: Stands for a null doc_id inside the operators; it sorts before all others.
 NULL_ID = -(2**63)
@@ -33,19 +29,10 @@ def batch_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; an own one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="lathe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here and lost executors cost nothing before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

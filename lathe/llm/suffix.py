@@ -15,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import NULL_ID, batch_limits, texts
-from lathe.llm.regions import Windows, repeated, unite
+from lathe.llm.common import NULL_ID, batch_limits, mix, texts
+from lathe.llm.regions import Hashes, Windows, repeated, unite
+
+
+#: A random number for each byte.
+SIGNS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def suffix_array(text: bytes | list[int]) -> list[int]:
@@ -110,24 +114,38 @@ def suffix_array(text: bytes | list[int]) -> list[int]:
 def repeats(regions: list[bytes], starts: list[int], size: int, block: int = 1 << 16) -> list[np.ndarray]:
     """For each region, which of its first starts[i] strings of size bytes also begin earlier, here or in a region before."""
     flat = bytearray()
-    begins, which = [], []
+    which = []
     for r, n in zip(regions, starts, strict=True):
-        begins.append(len(flat))
         which.append(np.arange(n) + len(flat))
         flat += r
-    valid = np.zeros(len(flat), bool)
-    valid[np.concatenate(which)] = True
-    # Regions end to end: strings of size bytes that begin at valid places lie inside their region, so no separator is met.
-    array = np.array(suffix_array(bytes(flat)), np.int64)
-    array = array[valid[array]]
-    views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(bytes(flat), np.uint8), size)
+    raw = bytes(flat)
+    own = np.concatenate(which)
+    # A string whose hash no other string of the shard has cannot repeat: only runs of the others, closer than their size, are
+    # put into the array. What repeats is then decided on the bytes.
+    hashes = Hashes(SIGNS[np.frombuffer(raw, np.uint8)]).grams(size)[own]
+    _, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    valid = own[counts[at] > 1]
+    hit = np.zeros(len(flat), bool)
+    if not len(valid):
+        return [hit[w] for w in which]
+    near = valid[1:] - valid[:-1] < size
+    first, last = valid[np.concatenate(([True], ~near))], valid[np.concatenate((~near, [True]))]
+    text = b"".join([raw[a : b + size] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+    lengths = last - first + size
+    shift = first - np.concatenate(([0], np.cumsum(lengths)[:-1]))  # from places in text to places in flat
+    inside = np.zeros(len(text), bool)
+    inside[valid - np.repeat(shift, np.diff(np.append(np.searchsorted(valid, first), len(valid))))] = True
+    # Strings of size bytes that begin at valid places lie inside their run, so no separators are needed.
+    array = np.array(suffix_array(text), np.int64)
+    array = array[inside[array]]
+    array += shift[np.searchsorted(np.cumsum(lengths), array, side="right")]
+    views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), size)
     same = np.zeros(len(array), bool)
     for i in range(1, len(array), block):
         j = min(len(array), i + block)
         same[i:j] = (views[array[i:j]] == views[array[i - 1 : j - 1]]).all(axis=1)
     heads = np.flatnonzero(~same)
     least = np.minimum.reduceat(array, heads)[np.cumsum(~same) - 1]
-    hit = np.zeros(len(flat), bool)
     hit[array] = array > least
     return [hit[w] for w in which]
 

@@ -1,7 +1,10 @@
 """Language-model scoring with Brown class-based n-grams.
 
-Exchange clustering gives frequent words classes; rarer words get a class by their shape. A text's probability is the product, over
-its words and an end, of the class's probability after the class before and the word's probability in its class.
+Exchange clustering gives the most frequent words classes. All other words that were learned from more than once then join these
+classes as in Brown's algorithm: in windows of falling frequency, each word goes to the class that makes the class bigrams
+likeliest, by counts of the classes around it. Only unseen words and those seen once get a class by their shape. A text's
+probability is the product, over its words and an end, of the class's probability after the class before and the word's
+probability in its class.
 
 Word counts of the whole corpus are never in one place. Documents are read in batches; of each batch, each bucket of the
 vocabulary gets one row with the batch's own words of that bucket and how often each document has them. A bucket's task adds up
@@ -10,7 +13,6 @@ the counts and returns, for each batch, the sum of the logs that each document n
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -38,9 +40,12 @@ def shape(word: bytes) -> int:
 
 @dataclass(frozen=True)
 class Rules:
-    """frequent: words that are clustered; classes: their number; sweeps: of the exchange; smooth: added counts."""
+    """frequent: words that are exchanged; floor: the least count of a word that joins their classes; growth: how many times the
+    words before it a window of joining words holds; classes: their number; sweeps: of the exchange; smooth: added counts."""
 
     frequent: int = 1000
+    floor: int = 2
+    growth: int = 64
     classes: int = 48
     sweeps: int = 8
     smooth: float = 0.5
@@ -62,6 +67,11 @@ def key_of(doc_id: int | None, text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text, 0 if doc_id is None else (doc_id + 1) % 2**64) - 2**63
 
 
+def hash_of(word: bytes) -> int:
+    """Stands for a word of the vocabulary in tasks and on the driver."""
+    return xxhash.xxh3_64_intdigest(word) - 2**63
+
+
 BUCKETED = "bucket int, batch long, words binary, word binary, doc binary, times binary, learn binary, keys binary"
 
 
@@ -99,14 +109,14 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text", "learn").mapInArrow(run, BUCKETED)
 
 
-SUMMED = "kind string, batch long, keys binary, logs binary, known binary, word binary, shape int, n long, v long"
+SUMMED = "kind string, batch long, keys binary, logs binary, known binary, word binary, hash long, shape int, n long, v long"
 
 
-def summed(batches: Iterator[pa.RecordBatch], frequent: int, smooth: float) -> Iterator[pa.RecordBatch]:
+def summed(batches: Iterator[pa.RecordBatch], floor: int, smooth: float) -> Iterator[pa.RecordBatch]:
     """All rows of some buckets -> kind 'docs': each batch's sums of log10(count + smooth) and known words by document; kind 'word':
-    the most frequent words; kind 'shape': training tokens n and kinds v of words by shape."""
+    the words with a count of floor or more; kind 'shape': training tokens n and kinds v of words by shape."""
     names = [x.split()[0] for x in SUMMED.split(", ")]
-    kinds = [pa.string(), pa.int64()] + [pa.binary()] * 4 + [pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.int64()] + [pa.binary()] * 4 + [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
@@ -128,14 +138,20 @@ def summed(batches: Iterator[pa.RecordBatch], frequent: int, smooth: float) -> I
         c = np.fromiter((counts.get(w, 0) for w in words), np.int64, len(words))
         logs = np.bincount(doc, weights=times * np.log10(c + smooth)[word], minlength=r["size"]) if len(words) else np.zeros(r["size"])
         known = np.bincount(doc, weights=times * (c > 0)[word], minlength=r["size"]) if len(words) else np.zeros(r["size"])
-        yield batch([("docs", r["batch"], r["keys"], logs.tobytes(), packed(known.astype(np.int64)), None, None, None, None)])
-    out = [("word", None, None, None, None, w, shape(w), n, None) for w, n in heapq.nlargest(frequent, counts.items(), key=lambda x: (x[1], x[0]))]
+        yield batch([("docs", r["batch"], r["keys"], logs.tobytes(), packed(known.astype(np.int64)), None, None, None, None, None)])
+    out: list[tuple] = []
+    for w, n in counts.items():
+        if n >= floor:
+            out.append(("word", None, None, None, None, w, hash_of(w), shape(w), n, None))
+            if len(out) >= 1 << 14:
+                yield batch(out)
+                out = []
     n_of, v_of = [0] * SHAPES, [0] * SHAPES
     for w, n in counts.items():
         s = shape(w)
         n_of[s] += n
         v_of[s] += 1
-    out += [("shape", None, None, None, None, None, s, n_of[s], v_of[s]) for s in range(SHAPES) if v_of[s]]
+    out += [("shape", None, None, None, None, None, None, s, n_of[s], v_of[s]) for s in range(SHAPES) if v_of[s]]
     if out:
         yield batch(out)
 
@@ -165,58 +181,197 @@ def by_document(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, logs double, known long")
 
 
-class Numbers(dict):
-    """Numbers of words met: own's as given, others' by shape from `first` on. The memory is bounded."""
-
-    LIMIT = 1 << 19
-
-    def __init__(self, own: dict[bytes, int], first: int):
-        super().__init__(own)
-        self.own, self.first = own, first
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
-            self.update(self.own)
-            if word in self:
-                return self[word]
-        n = self[word] = self.first + shape(word)
-        return n
-
-
 class Symbols:
-    """Numbers of words: frequent ones from 0, then the end, then shapes."""
+    """Numbers of words: those of the vocabulary, by its sorted hashes, as given; others' by shape from end + 1 on. What is kept of
+    words met is bounded."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.end = len(frequent)
-        self.size = self.end + 1 + SHAPES
-        self.numbers = Numbers({w: i for i, w in enumerate(frequent)}, self.end + 1)
+    LIMIT = 1 << 19
 
-    def of(self, text: bytes) -> np.ndarray:
-        """end, the words' numbers, end."""
-        words = text.translate(LOWER).split()
-        return np.fromiter((self.end, *map(self.numbers.__getitem__, words), self.end), np.int64, len(words) + 2)
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, end: int):
+        self.hashes, self.numbers, self.end = hashes, numbers, end
+        self.met: dict[bytes, int] = {}
+
+    def flat(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the end, its words' numbers and the end, in one row; and where each text begins, and the row ends."""
+        lists = [t.translate(LOWER).split() for t in batch]
+        if len(self.met) > self.LIMIT:
+            self.met.clear()
+        new = list(set().union(*lists) - self.met.keys())
+        if new:
+            own = np.fromiter(map(hash_of, new), np.int64, len(new))
+            at = np.minimum(np.searchsorted(self.hashes, own), max(0, len(self.hashes) - 1))
+            known = self.hashes[at] == own if len(self.hashes) else np.zeros(len(new), bool)
+            numbers = self.numbers[at].tolist() if len(self.hashes) else [0] * len(new)
+            self.met.update((w, n if k else self.end + 1 + shape(w)) for w, n, k in zip(new, numbers, known.tolist(), strict=True))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 2
+        starts = np.append(0, np.cumsum(sizes))
+        out = np.full(starts[-1], self.end, np.int64)
+        get = self.met.__getitem__
+        for at, words in zip(starts.tolist(), lists):
+            out[at + 1 : at + 1 + len(words)] = np.fromiter(map(get, words), np.int64, len(words))
+        return out, starts
+
+
+def followed(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All neighbours within a text."""
+    inside = np.ones(max(0, len(flat) - 1), bool)
+    inside[starts[1:-1] - 1] = False
+    return flat[:-1][inside], flat[1:][inside]
+
+
+def gathered(counts: DataFrame, size: int) -> np.ndarray:
+    """counts(code, n) -> the sums as a square of side size."""
+    got = counts.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size)
+    out[got.column("code").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(size, size)
 
 
 def pair_counts(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
     """How often each symbol follows each in docs(text); at most (frequent + shapes + 1) squared numbers reach the driver."""
+    own = np.array([hash_of(w) for w in frequent], np.int64)
+    order = np.argsort(own)
+    size = len(frequent) + 1 + SHAPES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(frequent)
-        total = np.zeros(symbols.size**2, np.int64)
+        symbols = Symbols(own[order], order, len(frequent))
+        total = np.zeros(size**2, np.int64)
         for b in batches:
-            for t in texts(b.column("text")):
-                s = symbols.of(t)
-                code, n = np.unique(s[:-1] * symbols.size + s[1:], return_counts=True)
-                total[code] += n
+            x, y = followed(*symbols.flat(texts(b.column("text"))))
+            code, n = np.unique(x * size + y, return_counts=True)
+            total[code] += n
         at = np.flatnonzero(total)
         yield from record_batches({"code": (at, pa.int64()), "n": (total[at], pa.int64())})
 
-    size = len(frequent) + 1 + SHAPES
-    got = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size)
-    out[got.column("code").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(size, size)
+    return gathered(docs.select("text").mapInArrow(run, "code long, n long"), size)
+
+
+def inserted(counts: np.ndarray, shapes: np.ndarray, grid: np.ndarray, classes: int) -> np.ndarray:
+    """The class, of the first `classes`, that each word joins to make the class bigrams grid likeliest, were it the only one to move.
+    counts: a row for each word with how often each class follows it, how often it follows each, and how often itself. shapes: the
+    class that it leaves."""
+    total = len(grid)
+    row, col, own = counts[:, :total], counts[:, total : 2 * total], counts[:, 2 * total :]
+    left, right = grid.sum(axis=1)[:classes], grid.sum(axis=0)[:classes]
+    out_n, in_n = row.sum(axis=1)[:, None] + own, col.sum(axis=1)[:, None] + own
+    gain = xlogx(left) - xlogx(left + out_n) + xlogx(right) - xlogx(right + in_n)
+    for side, other, cells in ((row, col, grid[:classes].T), (col, row, grid[:, :classes])):
+        w, c = np.nonzero(side)
+        if not len(w):
+            continue
+        before = cells[c]
+        home = c == shapes[w]
+        before[home] -= other[w[home], :classes]  # the word itself is still counted in the class that it leaves
+        part = xlogx(before + side[w, c][:, None]) - xlogx(before)
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        gain[w[first]] += np.add.reduceat(part, first)
+    same = grid[np.arange(classes), np.arange(classes)]
+    r, c = row[:, :classes], col[:, :classes]
+    gain += xlogx(same + r + c + own) - xlogx(same + r) - xlogx(same + c) + xlogx(same)
+    return gain.argmax(axis=1)
+
+
+def joined(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], window: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of window(hash, shape) join the classes of those known (sorted hashes, classes) -> sorted hashes and classes of both;
+    and by class left and joined, (shape, class, tokens, words). Counts of each word lie in one of many buckets."""
+    spark = docs.sparkSession
+    got = window.groupBy("hash").agg(F.min("shape").alias("shape")).toArrow()
+    hashes = got.column("hash").to_numpy()
+    order = np.argsort(hashes)
+    hashes, shapes = hashes[order], got.column("shape").to_numpy()[order].astype(np.uint8)
+    fresh = ~np.isin(hashes, known[0])
+    hashes, shapes = hashes[fresh], shapes[fresh]
+    total, width = classes + 1 + SHAPES, 2 * (classes + 1 + SHAPES) + 1
+    buckets = max(64, partitions(spark), len(hashes) >> 14)
+    both = np.concatenate((known[0], hashes))
+    numbers = np.concatenate((known[1].astype(np.int32), total + np.arange(len(hashes), dtype=np.int32)))
+    order = np.argsort(both)
+    both, numbers = both[order], numbers[order]
+    shared = spark.sparkContext.broadcast((both, numbers, shapes))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, numbers, shapes = shared.value
+        symbols = Symbols(hashes, numbers, classes)
+        grid, held, size = np.zeros(total**2, np.int64), [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            word, code = code // width, code % width
+            home = word % buckets
+            order = np.argsort(home, kind="stable")
+            word, code, n = word[order] // buckets * width + code[order], home[order], n[order]
+            cuts = np.flatnonzero(np.append(True, code[1:] != code[:-1])).tolist()
+            rows = [(int(code[a]), packed(word[a:b]), packed(n[a:b])) for a, b in zip(cuts, [*cuts[1:], len(code)], strict=True)]
+            k, w, m = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.binary()), pa.array(m, pa.binary()), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64())], names=["bucket", "codes", "times", "code", "n"])
+
+        for b in batches:
+            x, y = followed(*symbols.flat(texts(b.column("text"))))
+            new_x, new_y = x >= total, y >= total
+            cx, cy = x.copy(), y.copy()
+            cx[new_x] = classes + 1 + shapes[x[new_x] - total]
+            cy[new_y] = classes + 1 + shapes[y[new_y] - total]
+            grid += np.bincount(cx * total + cy, minlength=total**2)
+            itself = new_x & (x == y)
+            held += [(x[new_x] - total) * width + np.where(itself, 2 * total, cy)[new_x]]
+            new_y &= ~itself
+            held += [(y[new_y] - total) * width + total + cx[new_y]]
+            size += len(held[-1]) + len(held[-2])
+            if size > 1 << 21:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+        at = np.flatnonzero(grid)
+        none = pa.nulls(len(at), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), none, none, pa.array(at, pa.int64()), pa.array(grid[at], pa.int64())], names=["bucket", "codes", "times", "code", "n"])
+
+    met = staged(docs.select("text").mapInArrow(around, "bucket int, codes binary, times binary, code long, n long"), "word-classes")
+    grid = gathered(met.where("bucket is null").select("code", "n"), total)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = shared.value[2]
+        now, counts = None, np.zeros((0, width))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(counts), 256):
+                part = counts[at : at + 256]
+                word = now + (at + np.arange(len(part))) * buckets
+                leaves = shapes[word].astype(np.int64)
+                c = inserted(part, classes + 1 + leaves, grid, classes)
+                n = part[:, total:].sum(axis=1).astype(np.int64)
+                yield from record_batches({"word": (word, pa.int64()), "shape": (leaves, pa.int32()), "class": (c, pa.int32()), "n": (n, pa.int64())})
+
+        for b in batches:
+            for k, codes, times in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != now:
+                    yield from out()
+                    now, counts = k, np.zeros((len(range(k, len(shapes), buckets)), width))
+                counts.ravel()[unpacked(codes)] += unpacked(times)
+        yield from out()
+
+    rows = met.where("bucket is not null").select("bucket", "codes", "times").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = staged(rows.mapInArrow(join, "word long, shape int, class int, n long"), "joined-words")
+    got = found.select("word", "class").toArrow()
+    cls = np.zeros(len(hashes), np.int32)
+    cls[got.column("word").to_numpy()] = got.column("class").to_numpy()
+    new = numbers >= total
+    numbers[new] = cls[numbers[new] - total]
+    moved = found.groupBy("shape", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    release(spark)
+    return both, numbers, np.array([tuple(r) for r in moved], np.int64).reshape(-1, 4)
+
+
+def windows(counts: list[tuple[int, int]], have: int, growth: int) -> list[tuple[int, int]]:
+    """counts: (count, how many words), falling. Ranges of counts (least, greatest), each with about growth times the words before."""
+    out, size, top = [], 0, None
+    for n, words in counts:
+        top = n if top is None else top
+        size += words
+        if size >= growth * have:
+            out.append((n, top))
+            have, size, top = have + size, 0, None
+    return out + ([(counts[-1][0], top)] if size else [])
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -270,6 +425,39 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int) -> np.nda
     return cls
 
 
+def class_rows(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], classes: int) -> DataFrame:
+    """docs(doc_id, text, learn) -> (doc_id, learn, key, classes: those of end, words and end, a byte each)."""
+    shared = docs.sparkSession.sparkContext.broadcast((known[0], known[1].astype(np.uint8)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols(*shared.value, classes)
+        for b in batches:
+            raw = texts(b.column("text"))
+            flat, starts = symbols.flat(raw)
+            flat = flat.astype(np.uint8).tobytes()
+            cut = [flat[x:y] for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            keys = [key_of(d, t) for d, t in zip(b.column("doc_id").to_pylist(), raw, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("learn"), pa.array(keys, pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "learn", "key", "classes"])
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(run, "doc_id long, learn boolean, key long, classes binary")
+
+
+def class_pairs(rows: DataFrame, size: int) -> np.ndarray:
+    """How often each class follows each in rows(classes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size**2, np.int64)
+        for b in batches:
+            for x in b.column("classes").to_pylist():
+                c = np.frombuffer(x, np.uint8).astype(np.int64)
+                code, n = np.unique(c[:-1] * size + c[1:], return_counts=True)
+                total[code] += n
+        at = np.flatnonzero(total)
+        yield from record_batches({"code": (at, pa.int64()), "n": (total[at], pa.int64())})
+
+    return gathered(rows.select("classes").mapInArrow(run, "code long, n long"), size)
+
+
 def score(docs: DataFrame, learn: Column, rules: Rules = Rules()) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; learns from rows where learn holds.
 
@@ -280,34 +468,44 @@ def score(docs: DataFrame, learn: Column, rules: Rules = Rules()) -> DataFrame:
     batch_limits(spark)
     buckets = max(64, partitions(spark))
     marked = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    frequent_n, smooth = rules.frequent, rules.smooth
-    found = dealt(marked, buckets).repartition(buckets, "bucket").mapInArrow(lambda b: summed(b, frequent_n, smooth), SUMMED)
+    floor, smooth = rules.floor, rules.smooth
+    found = dealt(marked, buckets).repartition(buckets, "bucket").mapInArrow(lambda b: summed(b, floor, smooth), SUMMED)
     found = staged(found, "word-sums")
     release(spark)
-    top = found.where("kind = 'word'").orderBy(F.desc("n"), F.desc("word")).limit(rules.frequent).select("word", "shape", "n").collect()
+    top = found.where("kind = 'word'").orderBy(F.desc("n"), F.desc("word")).limit(rules.frequent).select("word", "hash", "shape", "n").collect()
     frequent = [bytes(r.word) for r in top]
     shapes = {r["shape"]: (r.n, r.v) for r in found.where("kind = 'shape'").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     pairs = pair_counts(marked.where("learn"), frequent)
     words, classes = len(frequent), min(rules.classes, max(1, len(frequent)))
     cls = exchange(pairs, words, classes, rules.sweeps)
-
-    total = len(pairs) - words + classes
-    one = np.zeros((len(pairs), total))
-    one[np.arange(len(pairs)), cls] = 1
-    grid = one.T @ pairs @ one
-    ends = grid[:, classes].sum()
+    ends = pairs[words].sum()
+
+    own = np.array([r["hash"] for r in top], np.int64)
+    order = np.argsort(own)
+    known, moves = (own[order], cls[:words][order].astype(np.int32)), [np.array([(r["shape"], c, r.n, 1) for r, c in zip(top, cls[:words], strict=True)], np.int64).reshape(-1, 4)]
+    if len(top) == rules.frequent:
+        least = F.lit(top[-1].n)
+        rest = found.where("kind = 'word'").where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") < F.lit(top[-1].word))))
+        by_count = [(r.n, r["count"]) for r in rest.groupBy("n").count().orderBy(F.desc("n")).collect()]
+        for low, high in windows(by_count, words, rules.growth):
+            *known, moved = joined(marked.where("learn"), tuple(known), rest.where(F.col("n").between(low, high)), classes)
+            moves.append(moved)
+
+    total = classes + 1 + SHAPES
+    walked = staged(class_rows(marked, tuple(known), classes), "class-rows")
+    grid = class_pairs(walked.where("learn"), total)
     uni = (grid.sum(axis=0) + smooth) / (grid.sum() + smooth * total)
     step = np.log10((grid + smooth * total * uni) / (grid.sum(axis=1, keepdims=True) + smooth * total))
-    # Tokens and kinds of each class; what is frequent leaves its shape's class.
+    # Tokens and kinds of each class; words of the vocabulary leave their shape's class.
     tokens, kinds = np.zeros(total), np.zeros(total)
     for s, (n, v) in shapes.items():
         tokens[classes + 1 + s] += n
         kinds[classes + 1 + s] += v
-    for r, c in zip(top, cls[:words], strict=True):
-        tokens[c] += r.n
-        kinds[c] += 1
-        tokens[classes + 1 + r["shape"]] -= r.n
-        kinds[classes + 1 + r["shape"]] -= 1
+    for s, c, n, v in np.concatenate(moves).tolist():
+        tokens[c] += n
+        kinds[c] += v
+        tokens[classes + 1 + s] -= n
+        kinds[classes + 1 + s] -= v
     within = np.log10(tokens + smooth * (kinds + 1))
     within[classes] = 0.0  # the end is alone in its class
     within[:classes] = np.log10(np.maximum(tokens[:classes] + smooth * kinds[:classes], smooth))  # no unknown word is there
@@ -315,21 +513,14 @@ def score(docs: DataFrame, learn: Column, rules: Rules = Rules()) -> DataFrame:
     n_all = int(sum(n for n, _ in shapes.values()) + ends)
     v_all = int(sum(v for _, v in shapes.values()) + (ends > 0))
     base = math.log10(n_all + 0.5 * (v_all + 1))
-    model = spark.sparkContext.broadcast((frequent, cls, step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, cls, step = model.value
-        symbols = Symbols(frequent)
         for b in batches:
-            n, walk, keys = [], [], []
-            for doc, t in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
-                c = cls[symbols.of(t)]
-                n.append(len(c) - 1)
-                walk.append(float(step[c[:-1], c[1:]].sum()))
-                keys.append(key_of(doc, t))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(walk, pa.float64()), pa.array(keys, pa.int64())], names=["doc_id", "n_tokens", "walk", "key"])
+            rows = [np.frombuffer(x, np.uint8) for x in b.column("classes").to_pylist()]
+            walk = [float(step[c[:-1], c[1:]].sum()) for c in rows]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(c) - 1 for c in rows], pa.int64()), pa.array(walk, pa.float64()), b.column("key")], names=["doc_id", "n_tokens", "walk", "key"])
 
-    walks = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, walk double, key long")
+    walks = walked.select("doc_id", "key", "classes").mapInArrow(run, "doc_id long, n_tokens long, walk double, key long")
     sums = by_document(found).groupBy("key").agg(F.first("logs").alias("logs"), F.first("known").alias("known"))
     out = walks.join(sums, "key", "left")
     end_log = math.log10(ends + 0.5)

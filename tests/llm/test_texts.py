@@ -348,3 +348,45 @@ def test_lm_edges(spark):
     assert len(rows) == len(ROWS) and all(r.n_tokens >= 1 and np.isfinite(r.score) for r in rows)
     assert classlm.score(empty(spark), F.lit(True)).collect() == []
     assert classlm.score(documents(spark), F.lit(False)).count() == len(ROWS)
+
+
+def test_rare_words_join_classes_by_their_use(spark):
+    """Words below the exchanged ones are told apart by what stands around them, not by their shape."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    nouns, verbs = [f"n{a}x" for a in "bcdfghjk"], [f"v{a}x" for a in "bcdfghjk"]
+    rare = [(f"qa{a}{b}", f"qe{a}{b}") for a in "bcdfg" for b in "bcdfg"]  # used as nouns, as verbs: equal shapes
+    rows = []
+    for i in range(600):
+        words = [w for _ in range(10) for w in (nouns[rng.integers(8)], verbs[rng.integers(8)])]
+        a, b = rare[i % 25]
+        words[2 * int(rng.integers(1, 9))] = a
+        words[2 * int(rng.integers(1, 9)) + 1] = b
+        rows.append((i, " ".join(words)))
+    right, wrong = "nbx qecc nbx vbx", "nbx qacc nbx vbx"
+    rows += [(1000, right), (1001, wrong)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = classlm.Rules(frequent=16, classes=2, growth=1)
+    out = by_id(classlm.score(docs, F.col("doc_id") < 1000, rules).collect())
+    assert abs(out[1000].base_score - out[1001].base_score) < 1e-6 and out[1000].score > out[1001].score + 1
+
+
+def test_a_word_joins_the_likeliest_class():
+    """By the likelihood of the whole grid, also for words that follow themselves."""
+    rng = np.random.default_rng(11)
+    n, classes = 12, 3
+    pairs = rng.integers(0, 9, (n, n)).astype(float)
+    cls = np.array([*(np.arange(10) % 5), 3, 4])
+    total = 5
+    square = lambda c: np.array([[pairs[np.ix_(c == a, c == b)].sum() for b in range(total)] for a in range(total)])
+    like = lambda g: classlm.xlogx(g).sum() - classlm.xlogx(g.sum(axis=0)).sum() - classlm.xlogx(g.sum(axis=1)).sum()
+    for w in range(n):
+        if cls[w] < classes:
+            continue
+        one = np.eye(total)[cls]
+        row, col = pairs[w] @ one, pairs[:, w] @ one
+        row[cls[w]] -= pairs[w, w]
+        col[cls[w]] -= pairs[w, w]
+        got = classlm.inserted(np.concatenate((row, col, [pairs[w, w]]))[None], np.array([cls[w]]), square(cls), classes)[0]
+        assert got == max(range(classes), key=lambda k: like(square(np.where(np.arange(n) == w, k, cls))))

@@ -79,6 +79,28 @@ def test_noisy_words_are_restored(noisy):
     assert scorer.score("some idea of a tidy riot here")[1] == 0
 
 
+def test_every_sign_is_decoded():
+    """A word written with a sign for any of its letters has the skeleton of the word, and is restored."""
+    for sign, letters in toxicity.LEET.items():
+        for x in letters:
+            word = f"kn{x}rp"
+            grams: Counter = Counter()
+            for w in (word, "the", "word"):
+                toxicity.char_grams(w, 50.0, grams)
+            assert toxicity.skeleton(f"kn{sign}rp") == toxicity.skeleton(word)
+            assert toxicity.Scorer(toxicity.ToxicityModel({word: 5.0}, dict(grams))).score(f"some kn{sign}rp here")[2] == [word]
+
+
+@pytest.mark.parametrize("noisy", ["1d10tic", "idiooootic", "i-d-i-o-t-i-c", "id*iotic", "i d i o t i c"])
+def test_noisy_forms_of_stems_are_restored(noisy):
+    grams: Counter = Counter()
+    for w in ("idiotic", "idiots", "the", "word", "quite", "tidy"):
+        toxicity.char_grams(w, 5.0, grams)
+    scorer = toxicity.Scorer(toxicity.ToxicityModel({"^idiot": 5.0}, dict(grams)))
+    assert scorer.score(f"some {noisy} here")[1] == 1
+    assert scorer.score("some 1d34 of a t1dy r10t here")[1] == 0
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = by_id(op3_toxicity(spark, sf).collect())

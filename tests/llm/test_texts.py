@@ -101,6 +101,15 @@ def test_noisy_forms_of_stems_are_restored(noisy):
     assert scorer.score("some 1d34 of a t1dy r10t here")[1] == 0
 
 
+@pytest.mark.parametrize("noisy", ["i, d, i, o, t", "I. D. I. O. T.", "1. d; 1: 0, t!", "(i) (d) (i) (o) (t)", "i d i o t"])
+def test_spelled_words_with_punctuation_are_restored(noisy):
+    grams: Counter = Counter()
+    for w in ("idiot", "the", "word", "quite", "tidy"):
+        toxicity.char_grams(w, 5.0, grams)
+    scorer = toxicity.Scorer(toxicity.ToxicityModel({"idiot": 5.0}, dict(grams)))
+    assert scorer.score(f"some {noisy} here")[2] == ["idiot"] and scorer.score(noisy)[2] == ["idiot"]
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = by_id(op3_toxicity(spark, sf).collect())

@@ -24,13 +24,20 @@ def byte_signs() -> dict[str, int]:
 
 
 class ByteBPE:
-    """ids() as the tokenizers library gives them, with special tokens' strings as ordinary text."""
+    """ids() as the tokenizers library gives them, with special tokens' strings as ordinary text; ids_with_added() with each of the
+    file's added tokens inside a text as its one id."""
 
     LIMIT = 1 << 19
 
     def __init__(self, definition: bytes):
         model = json.loads(definition)
         special = {x["content"] for x in model.get("added_tokens", ()) if x.get("special")}
+        self.added = {x["content"]: np.uint32(x["id"]).tobytes() for x in model.get("added_tokens", ())}
+        odd = [x["content"] for x in model.get("added_tokens", ()) if x.get("lstrip") or x.get("rstrip") or x.get("single_word")]
+        if odd:
+            raise ValueError(f"added tokens that take in or look at their surroundings are not supported: {odd}")
+        # Where several begin at one place, the longest counts.
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         signs = byte_signs()
         ranks = {bytes(signs[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         self.encode = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -62,3 +69,11 @@ class ByteBPE:
             self._learn(list(new))
         get = self.cache.__getitem__
         return [np.array(self.encode(t), np.uint32).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+
+    def ids_with_added(self, texts: list[str]) -> list[bytes]:
+        """As ids(), but an added token is its own id, and what lies before and after it is encoded apart."""
+        if self.cut is None or not any(a in t for a in self.added for t in texts):
+            return self.ids(texts)
+        parts = [self.cut.split(t) for t in texts]
+        plain = iter(self.ids([x for p in parts for x in p[::2]]))
+        return [b"".join(self.added[x] if i % 2 else next(plain) for i, x in enumerate(p)) for p in parts]

@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: bytes, window: int = 2048, end: int = 1)
         bpe = ByteBPE(shared.value)
         for b in batches:
             rows = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), bpe.ids([x.decode("utf-8", "replace") for x in texts(b.column("text"))]), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), bpe.ids_with_added([x.decode("utf-8", "replace") for x in texts(b.column("text"))]), strict=True):
                 n = len(ids) // 4 + 1
                 for at in range(0, n, window):
                     part = ids[4 * at : 4 * (at + window)]

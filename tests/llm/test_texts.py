@@ -153,6 +153,19 @@ def test_byte_bpe_is_exact(bpe, docs):
     assert [np.frombuffer(x, "<u4").tolist() for x in ByteBPE(bpe).ids(texts)] == reference_ids(bpe, texts)
 
 
+def test_added_tokens_are_one_id(spark, bpe):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    quoted = [f"a {end} b", end, f"{end}{end}", f"x{end}y z\n{end}\n", f" {end}  tail ", "<|endoftext| >", f"<|{end}|>", f"é\t{end}\x85", "plain", ""]
+    want = [e.ids for e in Tokenizer.from_str(bpe.decode()).encode_batch([*ODD, *quoted], add_special_tokens=False)]
+    assert want[len(ODD)].count(50256) == 1
+    assert [np.frombuffer(x, "<u4").tolist() for x in ByteBPE(bpe).ids_with_added([*ODD, *quoted])] == want
+    rows = packing.pack(spark.createDataFrame(list(enumerate(quoted)), "doc_id long, text string"), bpe).collect()
+    check_packed(rows, {i: [*x, 1] for i, x in enumerate(want[len(ODD) :])}, 2048)
+    assert len(rows) == len(quoted)
+
+
 def check_packed(rows, ids: dict[int, list[int]], window: int) -> None:
     seqs: dict = {}
     got: dict = {}

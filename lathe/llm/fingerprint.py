@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from lathe.llm.common import batch_limits, partitions, texts
 
-#: Lanes of a vector, and the type that sums are kept in: sums are modulo 2**16.
+#: Lanes of a vector, and the type that sums are kept in: sums are modulo 2**32, more than one text can repeat a paragraph.
 LANES = 128
-LANE = np.uint16
+LANE = np.uint32
 #: Long paragraphs are divided after a word whose hash says so, at about every so many words: a place that depends on the words
 #: alone, so that an edit changes the parts it touches and no others.
 PART_WORDS = 8
@@ -75,11 +75,11 @@ class Fingerprint:
 
     def size(self) -> float:
         """Mean square of the lanes: an estimate of the sum of squared counts of the paragraphs."""
-        x = self.lanes.view(np.int16).astype(np.float64)
+        x = self.lanes.view(np.int32).astype(np.float64)
         return float(x @ x) / LANES
 
     def hex(self) -> str:
-        return self.lanes.astype(">u2").tobytes().hex()
+        return self.lanes.astype(">u4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal fingerprints, about 0 for multisets that share nothing: the shared part of both sizes."""

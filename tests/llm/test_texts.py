@@ -237,6 +237,14 @@ def test_fingerprints_are_homomorphic():
     assert whole.likeness(whole) == 1.0 and b"".join(fingerprint.paragraphs(LONG.encode())) == LONG.encode()
 
 
+def test_many_equal_paragraphs_are_told_apart():
+    line = fingerprint.Fingerprint.of([b"x\n"])
+    for n in (32_768, 65_536, 100_000):
+        many = fingerprint.Fingerprint.of([b"x\n"] * n)
+        assert many != fingerprint.Fingerprint() and many.size() == float(n) ** 2
+        assert many.likeness(fingerprint.Fingerprint()) == 0.0 and many - line == fingerprint.Fingerprint.of([b"x\n"] * (n - 1))
+
+
 def test_fingerprint_edges(spark):
     rows = fingerprint.fingerprints(documents(spark)).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(d) for d, *_ in ROWS)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,10 @@ from lathe.plans.folders import shared_folder
 NULL_ID = -(2**63)
 
 
+#: Paths of staged tables, by the DataFrame.
+STAGED: dict[int, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,8 +37,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here and lost executors cost nothing before it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at = file_system(spark, path)
+    files.deleteOnExit(at)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    STAGED[id(out)] = path
+    return out
+
+
+def file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a staged table that nothing reads any more; the others go when the driver's JVM ends."""
+    path = STAGED.pop(id(table), None)
+    if path:
+        files, at = file_system(table.sparkSession, path)
+        files.delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -61,16 +82,19 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-class WordHash(dict):
-    """64-bit hash of each word met. The memory is bounded: it starts anew when it is full."""
-
-    LIMIT = 1 << 19
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def split_words(column: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of all texts, the number of each word in order, and where each text's words begin, and the end. Words are
+    apart by ASCII white space; lower: with A-Z lower-cased. Null texts have none."""
+    text = pc.fill_null(column.cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    offsets = offsets - (offsets[0] if len(offsets) else 0)
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    if not full.all():  # white space at the ends of a text gives empty words
+        flat = flat.filter(pa.array(full))
+        offsets = np.append(0, np.cumsum(full))[offsets]
+    found = flat.dictionary_encode()
+    return found.dictionary.cast(pa.large_binary()).to_pylist(), found.indices.to_numpy().astype(np.int64), offsets
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,29 +117,34 @@ def record_batches(columns: dict[str, tuple], size: int = 1 << 16) -> Iterator[p
 
 
 def rewritten(docs: DataFrame, make_decide, spans: DataFrame | None = None) -> DataFrame:
-    """docs, all its columns, less rejected rows and with new texts. make_decide() gives, in each task, a function of the texts
-    (and their spans, if spans(doc, spans) is given) that returns for each its new text, or None to reject it. n_chars follows."""
-    schema = docs.schema
-    names = docs.columns
+    """docs, all its columns, less rejected rows and with new texts. make_decide() gives, in each task, a function of the texts (and
+    their spans, if spans(doc, row, spans) is given) that returns for each its new text, or None to reject it. A null text is
+    judged as an empty one, and stays null if it is kept. n_chars follows the text where it changes."""
+    schema, names = docs.schema, docs.columns
+    at = names.index("text")
     spanned = spans is not None
+    # What a column is called inside does not matter: they are taken by place.
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     if spanned:
-        docs = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(spans.toDF("__doc", "__spans"), "__doc", "left").drop("__doc")
+        inner = inner.withColumns({"doc": F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), F.lit(NULL_ID)), "row": F.xxhash64(f"c{at}")})
+        inner = inner.join(spans.select("doc", "row", "spans"), ["doc", "row"], "left").select(*[f"c{i}" for i in range(len(names))], "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = make_decide()
         for b in batches:
-            raw = texts(b.column("text"))
-            new = decide(raw, b.column("__spans").to_pylist()) if spanned else decide(raw)
+            old = b.column(at)
+            raw = texts(old)
+            new = decide(raw, b.column(len(names)).to_pylist()) if spanned else decide(raw)
             keep = pa.array([x is not None for x in new], pa.bool_())
-            same = all(x is None or x is y for x, y in zip(new, raw, strict=True))
-            cols = [b.column(n) for n in names]
-            if not same:
-                text = pa.array([None if x is None else x for x in new], pa.binary()).cast(pa.string())
-                cols[names.index("text")] = text.cast(b.schema.field("text").type)
+            cols = [b.column(i) for i in range(len(names))]
+            if not all(x is None or x is y for x, y in zip(new, raw, strict=True)):
+                null = old.is_null().to_pylist()
+                text = [None if x is None or (n and not x) else x for x, n in zip(new, null, strict=True)]
+                cols[at] = pa.array(text, pa.binary()).cast(pa.string()).cast(old.type)
                 if "n_chars" in names:
-                    at = names.index("n_chars")
-                    size = [None if x is None else len(x.decode("utf-8", "replace")) for x in new]
-                    cols[at] = pa.array([s if x is not y else old for s, x, y, old in zip(size, new, raw, cols[at].to_pylist(), strict=True)], cols[at].type)
+                    k = names.index("n_chars")
+                    chars = [len(x.decode("utf-8", "replace")) if x is not None and x is not y else n for x, y, n in zip(new, raw, cols[k].to_pylist(), strict=True)]
+                    cols[k] = pa.array(chars, cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
 
-    return docs.mapInArrow(run, schema)
+    return inner.mapInArrow(run, schema)

@@ -1,12 +1,16 @@
 """Where passages repeat: finds every symbol covered by a window of fixed length that also starts earlier.
 
 Symbols are words or bytes. Windows are dealt out by an anchor, the smallest hash of the k-grams inside (a function of the
-window's own symbols), so equal windows always meet. Windows in a row with one anchor form a region. Equal regions are collapsed
-to the first; regions that share an anchor but differ go, with their symbols, to an index (an FM-index or a suffix array) that
-decides on the symbols themselves.
+window's own symbols), so equal windows always meet. Windows in a row with one anchor form a region. Regions whose anchor occurs
+again are cut out of the texts and go, with their symbols, to indexes (FM-indexes or suffix arrays). Hashes only choose where
+symbols are compared: equal pieces are collapsed after comparing them symbol by symbol, all else the index decides.
 
-Phase 1 shuffles 40 bytes per anchor (one in (window - k) / 2 symbols), phase 2 the regions in question, and each phase joins
-the texts once by document. Each phase ends in a table in the shared folder.
+An anchor is shuffled as 32 bytes, once for each task that holds it; the pieces in question are shuffled with their symbols, equal
+ones once for each task; and the texts are joined twice by row. Each phase ends in a table in the shared folder.
+
+A row is known by its doc_id and the 64-bit hash of its text, so rows that share a doc_id (or have none) stay apart, and equal rows
+have one result. A window is earlier if its doc_id is smaller (a null is the smallest), or the doc_id is the same and it starts
+earlier; of rows that share a doc_id, at one start the smaller hash comes first.
 """
 
 from __future__ import annotations
@@ -16,22 +20,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathe.llm.common import NULL_ID, WordHash, batch_limits, mix, partitions, record_batches, release, staged, texts
+from lathe.llm.common import NULL_ID, batch_limits, dropped, mix, partitions, record_batches, release, split_words, staged, texts
 
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 PLACE = 24
+#: Bits of an anchor's row for how far before it its region's first window begins, and the last one.
+BEFORE = 10
 #: Windows starts handled at once; also where very long texts are divided (with an overlap).
 CHUNK = 1 << 22
 #: Anchors combined inside a task before the shuffle.
 COMBINE = 1 << 20
 
-#: decide(regions, starts): which of each region's first starts[i] windows also start in an earlier region or place.
-Decide = Callable[[list[bytes], list[int]], list[np.ndarray]]
+#: decide(pieces, starts, order): which of each piece's first starts[i] windows equal an earlier one; order has each piece's
+#: (document, first start, row), and the start goes up with each window.
+Decide = Callable[[list[bytes], list[int], list[tuple[int, int, int]]], list[np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -42,6 +50,10 @@ class Windows:
     size: int
     gram: int
 
+    def __post_init__(self):
+        if not self.gram <= self.size < self.gram + 2**BEFORE:
+            raise ValueError(f"windows of {self.size} symbols with anchors of {self.gram}")
+
     def split(self, text: bytes):
         return text.split() if self.words else text
 
@@ -70,9 +82,6 @@ class Hashes:
         h *= self.inverse[: len(h)]
         return quick_mix(h)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
-
 
 def quick_mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
@@ -83,10 +92,10 @@ def quick_mix(h: np.ndarray) -> np.ndarray:
 
 def regions(values: np.ndarray, bounds: np.ndarray, rules: Windows) -> tuple[np.ndarray, ...]:
     """values: symbols' hashes, texts end to end; bounds: where each text begins, and the end. Returns for each region its
-    anchor's hash, its own hash, the text's number, first and last window start, and anchor, these three within the text."""
+    anchor's hash, the text's number, first and last window start, and anchor, these three within the text."""
     n, size, k = len(values), rules.size, rules.gram
     if n < size:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 4
     hashes = Hashes(values)
     gram = hashes.grams(k)
     low = np.uint64((1 << PLACE) - 1)
@@ -116,8 +125,7 @@ def regions(values: np.ndarray, bounds: np.ndarray, rules: Windows) -> tuple[np.
     p = anchor[lo]
     text = np.searchsorted(bounds, lo, side="right") - 1
     start = bounds[text]
-    own = hashes.of(lo, hi + size) ^ mix(((p - lo) * 1024 + (hi - lo)).astype(np.uint64))
-    return gram[p], own, text, lo - start, hi - start, p - start
+    return gram[p], text, lo - start, hi - start, p - start
 
 
 def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,246 +142,263 @@ def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[at], a[at], far[np.append(at[1:], len(doc)) - 1]
 
 
-ANCHORS = "h long, r long, doc long, lo long, hi long, p long"
-
-
-def rows(h, r, doc, lo, hi, p) -> Iterator[pa.RecordBatch]:
-    as_long = lambda x: x.view(np.int64) if x.dtype == np.uint64 else x
-    yield from record_batches({k: (as_long(v), pa.int64()) for k, v in zip("h r doc lo hi p".split(), (h, r, doc, lo, hi, p), strict=True)})
+ANCHORS = "deal long, h long, n long, doc long, row long, place long"
 
 
 def find_anchors(docs: DataFrame, rules: Windows) -> DataFrame:
-    """Rows of ANCHORS. Regions equal within a task are combined here: later ones become spans, marked by hi = -1 (lo to p)."""
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+    """docs(doc, row, text) -> ANCHORS. Of each anchor hash one row of a task is dealt by it, with how often the task has it; the
+    others, n = 0, are known to recur and are dealt evenly."""
+    signs = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordHash()
         parts: list[tuple] = []
-        ids: list[int] = []
+        ids: list[tuple[int, int]] = []
         flats: list[np.ndarray] = []
         pieces: list[int] = []
 
         def flush() -> None:
             if flats:
-                flat = np.concatenate(flats)
-                h, r, text, lo, hi, p = regions(flat, np.concatenate(([0], np.cumsum([len(x) for x in flats]))), rules)
+                h, text, lo, hi, p = regions(np.concatenate(flats), np.concatenate(([0], np.cumsum([len(x) for x in flats]))), rules)
                 at = np.array(pieces, np.int64)[text]
-                parts.append((h, r, np.array(ids, np.int64)[text], lo + at, hi + at, p + at))
+                doc, row = np.array(ids, np.int64).T
+                parts.append((h, doc[text], row[text], (p + at << 2 * BEFORE) | (p - lo << BEFORE) | (p - hi)))
                 ids.clear(), flats.clear(), pieces.clear()
 
         def combined() -> Iterator[pa.RecordBatch]:
             if not parts:
                 return
-            h, r, doc, lo, hi, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, doc, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
-            order = np.lexsort((lo, doc, r))
-            r = r[order]
-            new = np.ones(len(r), bool)
-            new[1:] = r[1:] != r[:-1]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-            h, doc, lo, hi, p = (x[order] for x in (h, doc, lo, hi, p))
-            yield from rows(h[new], r[new], doc[new], lo[new], hi[new], p[new])
-            later = ~new & ((doc != doc[head]) | (lo != lo[head]))
-            d, a, b = merged(doc[later], lo[later], hi[later] + rules.size)
-            yield from rows(mix(d.view(np.uint64)), np.zeros(len(d), np.int64), d, a, np.full(len(d), -1), b)
+            order = np.argsort(h, kind="stable")
+            h, doc, row, place = h[order].view(np.int64), doc[order], row[order], place[order]
+            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            n = np.zeros(len(h), np.int64)
+            n[at] = np.diff(np.append(at, len(h)))
+            deal = np.where(n > 0, h, mix((row ^ place).view(np.uint64)).view(np.int64))
+            yield from record_batches({k: (v, pa.int64()) for k, v in zip("deal h n doc row place".split(), (deal, h, n, doc, row, place), strict=True)})
 
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-                if rules.words:
-                    w = text.split()
-                    values = np.fromiter(map(word.__getitem__, w), np.uint64, len(w))
-                else:
-                    values = table[np.frombuffer(text, np.uint8)]
+            if rules.words:
+                words, index, offsets = split_words(batch.column("text"))
+                own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[index]
+                symbols = [own[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            else:
+                symbols = [signs[np.frombuffer(t, np.uint8)] for t in texts(batch.column("text"))]
+            for doc, row, values in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), symbols, strict=True):
                 for at in range(0, max(1, len(values) - rules.size + 1), CHUNK):
                     part = values[at : at + CHUNK + rules.size - 1]
                     if len(part) >= rules.size:
                         if held + len(part) > CHUNK + rules.size:
                             flush()
                             held = 0
-                        ids.append(NULL_ID if doc is None else doc), flats.append(part), pieces.append(at)
+                        ids.append((doc, row)), flats.append(part), pieces.append(at)
                         held += len(part)
             if sum(len(x[0]) for x in parts) > COMBINE:
                 yield from combined()
         flush()
         yield from combined()
 
-    return docs.select("doc_id", "text").mapInArrow(run, ANCHORS)
+    return docs.select("doc", "row", "text").mapInArrow(run, ANCHORS)
 
 
-def shared_anchors(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Takes ANCHORS sorted by h, r, doc, lo. Yields spans (hi = -1), and the first region of each r where an h has several.
+def ranks(order: list[tuple[int, int, int]], starts: list[int]) -> np.ndarray:
+    """The place of each window of each piece in the order of (document, start, row)."""
+    doc, first, row = (np.repeat(np.array(x, np.int64), starts) for x in zip(*order, strict=True))
+    begin = np.repeat(np.cumsum(starts) - starts, starts)
+    first += np.arange(len(first)) - begin
+    out = np.empty(len(first), np.int64)
+    out[np.lexsort((row, first, doc))] = np.arange(len(first))
+    return out
 
-    Only the last row of an open group is held: groups of any size stream through.
-    """
-    last_h = last_r = None
-    first = (0, 0)
-    pending: tuple | None = None
-    for b in batches:
-        h, r, doc, lo, hi, p = (b.column(i).to_numpy() for i in range(6))
-        span = hi < 0
-        if span.any():
-            yield from rows(*(x[span] for x in (h, r, doc, lo, hi, p)))
-            h, r, doc, lo, hi, p = (x[~span] for x in (h, r, doc, lo, hi, p))
-        if not len(h):
-            continue
-        same = np.concatenate(([h[0] == last_h and r[0] == last_r], (h[1:] == h[:-1]) & (r[1:] == r[:-1])))
-        head = np.maximum.accumulate(np.where(same, -1, np.arange(len(h))))
-        d0 = np.where(head >= 0, doc[head], first[0])
-        l0 = np.where(head >= 0, lo[head], first[1])
-        later = same & ((doc != d0) | (lo != l0))
-        if later.any():
-            d, a, e = merged(doc[later], lo[later], hi[later] + size)
-            yield from rows(h[: len(d)] * 0, np.zeros(len(d), np.int64), d, a, np.full(len(d), -1), e)
-        own = np.flatnonzero(~same)
-        if len(own):
-            k = h[own]
-            before = np.concatenate(([k[0] == last_h], k[1:] == k[:-1]))
-            after = np.append(k[1:] == k[:-1], False)
-            if before[0] and pending:
-                yield from rows(*(np.array([x]) for x in pending))
-            pick = own[before | after]
-            yield from rows(*(x[pick] for x in (h, r, doc, lo, hi, p)))
-            i = own[-1]
-            # The last one waits to see whether its h comes again.
-            pending = None if before[-1] else tuple(int(x[i]) for x in (h, r, doc, lo, hi, p))
-        last_h, last_r, first = int(h[-1]), int(r[-1]), (int(d0[-1]), int(l0[-1]))
-
-
-PARTS = "key long, r long, doc long, lo long, n long, symbols binary"
-#: Symbols' bytes gathered for one index, and the most that regions of one key may hold there before they are expanded.
+
+PIECES = "key long, r long, doc long, row long, lo long, n long, symbols binary"
+#: Symbols' bytes gathered for one index; the most different pieces of one key; bytes of pieces compared in a task before the shuffle.
 SHARD = 1 << 19
-GROUP = 1 << 22
+GROUP = 4096
+HELD = 1 << 25
+
+
+class Pieces:
+    """Rows of PIECES in the making: equal ones met in a task become spans, all but the earliest. Spans have a null key, and n is
+    their end."""
 
+    def __init__(self, size: int):
+        self.size, self.first, self.weight = size, {}, 0
+        self.spans: list[tuple] = []
 
-def cut_parts(texts_with: DataFrame, rules: Windows) -> DataFrame:
-    """Rows (doc, text, asked: [(lo, hi, p, h)]) -> PARTS. A region is divided at the windows that begin half a window before
-    the anchor: all windows of a half share half a window next to the anchor, which becomes part of the key."""
+    def add(self, symbols: bytes, doc: int, lo: int, row: int, n: int, p: int = 0) -> None:
+        new, old = (doc, lo, row, n, p), self.first.get(symbols)
+        if old is None:
+            self.first[symbols] = new
+            self.weight += len(symbols) + 200
+        elif old != new:
+            if new < old:
+                self.first[symbols], new = new, old
+            self.spans.append((None, None, new[0], new[2], new[1], new[1] + new[3] - 1 + self.size, None))
+
+    def full(self) -> bool:
+        return self.weight + 100 * len(self.spans) > HELD
+
+    def out(self, cut: Callable[[bytes, tuple], list[tuple]]) -> Iterator[pa.RecordBatch]:
+        """All rows; cut makes those of a piece from its symbols and (doc, lo, row, n, p)."""
+        rows, self.spans = self.spans, []
+        items, self.first, self.weight = list(self.first.items()), {}, 0
+        for at in range(0, len(items), 10_000):
+            for symbols, x in items[at : at + 10_000]:
+                rows += cut(symbols, x)
+            yield piece_batch(rows)
+            rows = []
+        if rows:
+            yield piece_batch(rows)
+
+
+def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=[x.split()[0] for x in PIECES.split(", ")])
+
+
+def digest(symbols: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(symbols) - 2**63
+
+
+def cut_pieces(asked: DataFrame, rules: Windows) -> DataFrame:
+    """Rows (doc, row, text, places) -> PIECES. A region is divided at the windows that begin half a window before the anchor: all
+    windows of a half share half a window next to the anchor, which is the key. r tells pieces apart, for counting alone."""
     size, half, k = rules.size, rules.size // 2, rules.gram
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    def cut(symbols: bytes, x: tuple) -> list[tuple]:
+        doc, lo, row, n, p = x
+        s = rules.split(symbols)
+        middle, last, out = p - half, n - 1, []  # places within the region
+        if last >= middle:
+            a = max(0, middle)
+            piece = rules.join(s[a:])
+            out.append((digest(rules.join(s[p : p + half])), digest(piece), doc, row, lo + a, n - a, piece))
+        if middle > 0:
+            e = min(last, middle - 1)
+            piece = rules.join(s[: e + size])
+            out.append((~digest(rules.join(s[middle - 1 : p + k])), digest(piece), doc, row, lo, e + 1, piece))
+        return out
 
-        digest = lambda x, seed: xxhash.xxh3_64_intdigest(x, seed) - 2**63
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, mask = Pieces(size), 2**BEFORE - 1
         for b in batches:
-            out: list[tuple] = []
-            for doc, text, asked in zip(b.column("doc").to_pylist(), texts(b.column("text")), b.column("asked").to_pylist(), strict=True):
+            for doc, row, text, places in zip(b.column("doc").to_pylist(), b.column("row").to_pylist(), texts(b.column("text")), b.column("places").to_pylist(), strict=True):
                 s = rules.split(text)
-                for x in asked:
-                    lo, hi, p, h = x["lo"], x["hi"], x["p"], x["h"] & (2**64 - 1)
-                    middle = p - half
-                    if hi >= middle:
-                        a = max(lo, middle)
-                        part = rules.join(s[a : hi + size])
-                        out.append((digest(rules.join(s[p : p + half]), h), digest(part, p - a), doc, a, hi - a + 1, part))
-                    if lo < middle:
-                        e = min(hi, middle - 1)
-                        part = rules.join(s[lo : e + size])
-                        out.append((digest(rules.join(s[middle - 1 : p + k]), h ^ 1), digest(part, p - lo), doc, lo, e - lo + 1, part))
-            for at in range(0, len(out), 20_000):
-                cols = list(zip(*out[at : at + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names=["key", "r", "doc", "lo", "n", "symbols"])
-
-    return texts_with.mapInArrow(run, PARTS)
+                for x in places:
+                    p = x >> 2 * BEFORE
+                    lo, hi = p - (x >> BEFORE & mask), p - (x & mask)
+                    pieces.add(rules.join(s[lo : hi + size]), doc, lo, row, hi - lo + 1, p - lo)
+                if pieces.full():
+                    yield from pieces.out(cut)
+        yield from pieces.out(cut)
 
+    return asked.select("doc", "row", "text", "places").mapInArrow(run, PIECES)
 
-def decided(batches: Iterator[pa.RecordBatch], rules: Windows, decide: Decide) -> Iterator[pa.RecordBatch]:
-    """Takes PARTS sorted by key, r, doc, lo. Yields (doc, a, b, key): spans with key null, and for keys whose regions are too many
-    for one index each window with the hash of its symbols as key."""
-    import xxhash
 
+def single_windows(pieces: DataFrame, rules: Windows) -> DataFrame:
+    """PIECES -> each of their windows as a piece, keyed by all its symbols."""
+    size = rules.size
+
+    def cut(symbols: bytes, x: tuple) -> list[tuple]:
+        return [(digest(symbols), 0, x[0], x[2], x[1], 1, symbols)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Pieces(size)
+        for b in batches:
+            for doc, row, lo, n, symbols in zip(*(b.column(c).to_pylist() for c in ("doc", "row", "lo", "n", "symbols")), strict=True):
+                s = rules.split(symbols)
+                for i in range(n):
+                    found.add(rules.join(s[i : i + size]), doc, lo + i, row, 1)
+                if found.full():
+                    yield from found.out(cut)
+        yield from found.out(cut)
+
+    return pieces.mapInArrow(run, PIECES)
+
+
+SPANS = "doc long, row long, a long, b long"
+
+
+def decided(batches: Iterator[pa.RecordBatch], rules: Windows, decide: Decide) -> Iterator[pa.RecordBatch]:
+    """Takes PIECES sorted by key, doc, lo, row. Yields SPANS. Of a key, equal pieces are collapsed to the first; the different ones,
+    where there are several, go to an index together with those of other keys."""
     size = rules.size
     spans: list[tuple] = []
     shard: list[tuple] = []
-    held = 0
-    group: list[tuple] = []
-    key = r = None
-    first = (0, 0)
-    large = False
-
-    def windows(part: tuple) -> Iterator[tuple]:
-        s = rules.split(part[3])
-        for i in range(part[2]):
-            yield part[0], part[1] + i, part[1] + i + size, xxhash.xxh3_64_intdigest(rules.join(s[i : i + size]), 7) - 2**63
+    group: dict[bytes, tuple] = {}
+    held, key = 0, None
 
     def index() -> None:
-        nonlocal held
-        shard.sort(key=lambda x: x[:2])
-        for part, hit in zip(shard, decide([x[3] for x in shard], [x[2] for x in shard]), strict=True):
+        for part, hit in zip(shard, decide([x[4] for x in shard], [x[3] for x in shard], [x[:3] for x in shard]), strict=True):
             at = np.flatnonzero(hit)
             if len(at):
                 _, a, b = merged(np.zeros(len(at), np.int64), at, at + size)
-                spans.extend((part[0], part[1] + int(x), part[1] + int(y), None) for x, y in zip(a, b, strict=True))
+                spans.extend((part[0], part[2], part[1] + int(x), part[1] + int(y)) for x, y in zip(a, b, strict=True))
         shard.clear()
-        held = 0
 
     def out() -> pa.RecordBatch:
         cols = list(zip(*spans, strict=True))
         spans.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "a", "b", "key"])
-
-    def close() -> None:
-        """The group of one key is over: its regions join the shard if there are several."""
-        nonlocal held
-        if large:
-            for x in group:
-                spans.extend(windows(x))
-        elif len(group) > 1:
-            shard.extend(group)
-            held += sum(len(x[3]) for x in group)
-            if held >= SHARD:
-                index()
-        group.clear()
-
-    weight = 0
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "row", "a", "b"])
+
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(6)]
-        for k, own, doc, lo, n, symbols in zip(*cols, strict=True):
+        for k, doc, row, lo, n, symbols in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "row", "lo", "n", "symbols")), strict=True):
             if k != key:
-                close()
-                key, r, large, weight = k, None, False, 0
-            if own == r:
-                if (doc, lo) != first:
-                    spans.append((doc, lo, lo + n - 1 + size, None))
-            else:
-                r, first = own, (doc, lo)
-                group.append((doc, lo, n, symbols))
-                weight += len(symbols)
-                if weight > GROUP:
-                    large = True
-                    close()
+                if len(group) > 1:
+                    shard.extend((*x, s) for s, x in group.items())
+                    held += sum(map(len, group))
+                    if held >= SHARD:
+                        index()
+                        held = 0
+                key, group = k, {}
+            first = group.setdefault(symbols, (doc, lo, row, n))
+            if first != (doc, lo, row, n):
+                spans.append((doc, row, lo, lo + n - 1 + size))
             if len(spans) >= 50_000:
                 yield out()
-    close()
+    if len(group) > 1:
+        shard.extend((*x, s) for s, x in group.items())
     if shard:
         index()
     if spans:
         yield out()
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with doc and row, by which repeated() knows rows."""
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "row": F.xxhash64("text")})
+
+
 def repeated(docs: DataFrame, rules: Windows, decide: Decide) -> DataFrame:
-    """docs(doc_id, text) -> (doc, spans: [(a, b)], not united) for each doc with a repeat; doc is doc_id or NULL_ID."""
+    """docs(doc_id, text) -> (doc, row, spans: [(a, b)], not united) for each row with a repeat."""
     spark = docs.sparkSession
     batch_limits(spark)
     n = partitions(spark)
-    size = rules.size
-    order = ["h", "r", "doc", "lo"]
-    found = find_anchors(docs, rules).repartition(n, "h").sortWithinPartitions(*order)
-    found = staged(found.mapInArrow(lambda b: shared_anchors(b, size), ANCHORS), "anchors")
+    keyed = with_rows(docs.select("doc_id", "text")).select("doc", "row", "text")
+    found = find_anchors(keyed, rules).repartition(n, "deal")
+    often = F.sum(F.greatest("n", F.when(F.col("n") == 0, 2).otherwise(0))).over(Window.partitionBy("deal"))
+    found = staged(found.withColumn("often", often).where("often > 1").select("doc", "row", "place"), "anchors")
+    release(spark)
+    # A row's places are no more than its text has, however often the row itself repeats.
+    asked = found.groupBy("doc", "row").agg(F.collect_set("place").alias("places"))
+    pieces = staged(cut_pieces(keyed.join(asked, ["doc", "row"]), rules), "pieces")
+    dropped(found)
     release(spark)
-    asked = found.where("hi >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "p", "h")).alias("asked"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
-    parts = cut_parts(keyed.join(asked, "doc").select("doc", "text", "asked"), rules)
-    parts = parts.repartition(n, "key").sortWithinPartitions("key", "r", "doc", "lo")
-    more = staged(parts.mapInArrow(lambda b: decided(b, rules, decide), "doc long, a long, b long, key long"), "decided")
+    # Keys with more different pieces than one index holds: their windows are dealt by all their symbols instead.
+    dealt = pieces.where("key is not null")
+    hot = staged(dealt.select("key", "r").distinct().groupBy("key").count().where(F.col("count") > GROUP).select("key"), "hot-keys")
+    spans_of = lambda x: x.where("key is null").select("doc", "row", F.col("lo").alias("a"), F.col("n").alias("b"))
+    spans = spans_of(pieces)
+    if not hot.isEmpty():
+        wide = staged(single_windows(dealt.join(hot, "key"), rules), "windows")
+        spans = spans.unionByName(spans_of(wide))
+        dealt = dealt.join(hot, "key", "left_anti").unionByName(wide.where("key is not null"))
+    dealt = dealt.drop("r").repartition(n, "key").sortWithinPartitions("key", "doc", "lo", "row")
+    more = staged(dealt.mapInArrow(lambda b: decided(b, rules, decide), SPANS), "decided")
     release(spark)
-    # Windows of overlarge groups: the first of each key stays, by an aggregation whose minimum is combined before the shuffle.
-    wide = more.where("key is not null")
-    least = wide.groupBy("key").agg(F.min(F.struct("doc", "a")).alias("first"))
-    wide = wide.join(least, "key").where(F.struct("doc", "a") > F.col("first")).select("doc", "a", "b")
-    spans = found.where("hi < 0").select("doc", F.col("lo").alias("a"), F.col("p").alias("b"))
-    spans = spans.unionByName(more.where("key is null").select("doc", "a", "b")).unionByName(wide)
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return spans.unionByName(more).groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def unite(spans: list[dict] | None, limit: int) -> list[tuple[int, int]]:

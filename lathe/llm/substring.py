@@ -1,8 +1,8 @@
 """Substring dedup with compressed FM-indexes.
 
 Each shard of candidate passages is indexed by the Burrows-Wheeler transform of its words in a wavelet matrix over bit-packed
-levels. Documents' words are streamed backwards through it; their matching statistics up to the window are read off the
-intervals, and windows whose interval holds an earlier occurrence are reported.
+levels. The documents' passages are streamed backwards through it; their matching statistics up to the window are read off the
+intervals, and windows whose interval has been met at an earlier place are reported.
 """
 
 from __future__ import annotations
@@ -16,39 +16,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import NULL_ID, batch_limits, rewritten, texts
-from lathe.llm.regions import Windows, repeated, unite
+from lathe.llm.common import batch_limits, rewritten, texts
+from lathe.llm.regions import Windows, ranks, repeated, unite, with_rows
 
 
 class FMIndex:
-    """Over an array of symbols 1..; 0 is kept for the end. depth: symbols by which suffixes are ordered (queries are no longer)."""
+    """Over an array of symbols 1..; 0 is kept for the end. Kept are the transform's levels, bit-packed, and counts; the suffixes'
+    order is not: intervals say how often a pattern occurs, and equal patterns have equal intervals."""
 
-    def __init__(self, symbols: np.ndarray, depth: int):
+    def __init__(self, symbols: np.ndarray):
         s = np.append(symbols, 0).astype(np.int64)
         n = len(s)
-        self.rows = np.argsort(s, kind="stable")
-        rank = np.cumsum(np.concatenate(([0], np.diff(s[self.rows]) > 0)))
+        rows = np.argsort(s, kind="stable")
+        rank = np.cumsum(np.concatenate(([0], np.diff(s[rows]) > 0)))
         inverse = np.empty(n, np.int64)
-        inverse[self.rows] = rank
+        inverse[rows] = rank
         step = 1
-        while step < depth and rank[-1] < n - 1:
-            after = np.zeros(n, np.int64)
-            after[:-step] = inverse[step:] + 1
-            key = inverse * (n + 1) + after
-            self.rows = np.argsort(key, kind="stable")
-            rank = np.cumsum(np.concatenate(([0], np.diff(key[self.rows]) > 0)))
-            inverse[self.rows] = rank
-            step *= 2
-        # Stable sorting leaves equal suffixes by position: the step back is exact only in a full order, so it is completed.
         while rank[-1] < n - 1:
             after = np.zeros(n, np.int64)
             after[:-step] = inverse[step:] + 1
             key = inverse * (n + 1) + after
-            self.rows = np.argsort(key, kind="stable")
-            rank = np.cumsum(np.concatenate(([0], np.diff(key[self.rows]) > 0)))
-            inverse[self.rows] = rank
+            rows = np.argsort(key, kind="stable")
+            rank = np.cumsum(np.concatenate(([0], np.diff(key[rows]) > 0)))
+            inverse[rows] = rank
             step *= 2
-        bwt = s[self.rows - 1]
+        bwt = s[rows - 1]
         self.n, self.top = n, int(s.max())
         self.less = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=self.top + 1))))
         self.levels = max(1, self.top.bit_length())
@@ -96,29 +88,31 @@ class FMIndex:
         return length, lo, hi
 
 
-def repeats(regions: list[bytes], starts: list[int], size: int) -> list[np.ndarray]:
-    """For each region (words apart by blanks), which of its first starts[i] windows also begin earlier, here or in one before."""
+def repeats(pieces: list[bytes], starts: list[int], order: list[tuple[int, int, int]], size: int, block: int = 1 << 18) -> list[np.ndarray]:
+    """For each piece (words apart by blanks), which of its first starts[i] windows equal one that is earlier by order, (document,
+    first start, row). All pieces are in one index; then each is streamed through it."""
     ids: dict[bytes, int] = {}
     flat: list[int] = []
-    which = []
-    for r, n in zip(regions, starts, strict=True):
-        which.append(np.arange(n) + len(flat))
+    ends = []
+    for r, n in zip(pieces, starts, strict=True):
+        ends.append(np.arange(n) + len(flat) + size)
         flat += [ids.setdefault(w, len(ids) + 1) for w in r.split()]
     symbols = np.array(flat, np.int64)
-    index = FMIndex(symbols, size)
-    at = np.concatenate(which)
-    length, lo, hi = index.matches(symbols, at + size, size)
-    # Windows with at least size symbols matched: their intervals, and the first occurrence at a window's place in each.
-    valid = np.full(index.n, np.iinfo(np.int64).max)
-    valid[at] = at
-    by_row = valid[index.rows]
-    cuts, inverse = np.unique(lo, return_inverse=True)
-    end = np.zeros(len(cuts), np.int64)
-    end[inverse] = hi
-    bounds = np.stack((cuts, end), axis=1).ravel()
-    least = np.minimum.reduceat(np.append(by_row, np.iinfo(np.int64).max), bounds)[::2]
-    hit = (length >= size) & (least[inverse] < at)
-    return np.split(hit, np.cumsum([len(w) for w in which])[:-1])
+    index = FMIndex(symbols)
+    ends, early = np.concatenate(ends), ranks(order, starts)
+    begin = np.empty(len(ends), np.int64)
+    several = np.empty(len(ends), bool)
+    for at in range(0, len(ends), block):
+        length, lo, hi = index.matches(symbols, ends[at : at + block], size)
+        begin[at : at + block], several[at : at + block] = lo, (length >= size) & (hi - lo > 1)
+    # Reported intervals: equal windows have the same, and all of them are streamed, so the least start seen is the first.
+    hit = np.zeros(len(ends), bool)
+    own = np.flatnonzero(several)
+    _, group = np.unique(begin[own], return_inverse=True)
+    least = np.full(len(own), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, early[own])
+    hit[own] = early[own] > least[group]
+    return np.split(hit, np.cumsum(starts)[:-1])
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -141,12 +135,14 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 4, text: bool =
 
     Every word that a window of size words covers which also starts earlier (smaller doc_id, or same document and earlier start)
     is removed; windows are judged on the input. In kept_text, a text with nothing removed is unchanged, and else the words left
-    keep the white space after them. Null texts have no words; a null id counts as the smallest; rows that repeat a doc_id are
-    one document for what is earlier, and get the spans of both where their texts differ.
+    keep the white space after them. Null and empty texts have no words; an empty table gives no rows; other columns are not read.
+    Equal rows have equal results; rows that share a doc_id, or have none, with other texts are judged each by its own words: of
+    two equal windows the one with the smaller start stays, at one start that of the smaller text hash. Very long texts are
+    hashed in overlapping chunks; a text's spans are gathered with it.
     """
     batch_limits(docs.sparkSession)
-    spans = repeated(docs, Windows(words=True, size=size, gram=gram), lambda regions, starts: repeats(regions, starts, size))
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc")).join(spans, "doc", "left").select("doc_id", "text", "spans")
+    spans = repeated(docs, Windows(words=True, size=size, gram=gram), lambda pieces, starts, order: repeats(pieces, starts, order, size))
+    keyed = with_rows(docs.select("doc_id", "text")).join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +166,9 @@ def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 4, text: bool =
 
 
 def keep_first_passages(docs: DataFrame, size: int = 20, gram: int = 4) -> DataFrame:
-    """docs with all its columns, texts less their repeated words."""
-    spans = repeated(docs, Windows(words=True, size=size, gram=gram), lambda regions, starts: repeats(regions, starts, size))
+    """docs with all its columns, texts less their repeated words; rows are judged as in remove_repeats. Null and empty texts, and
+    texts without a repeat, stay as they are; n_chars follows the text; an empty table stays empty."""
+    spans = repeated(docs, Windows(words=True, size=size, gram=gram), lambda pieces, starts, order: repeats(pieces, starts, order, size))
 
     def decide(raw: list[bytes], found: list) -> list[bytes | None]:
         return [without(t, unite(s, len(t.split()))) if s else t for t, s in zip(raw, found, strict=True)]

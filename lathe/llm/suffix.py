@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import NULL_ID, batch_limits, mix, texts
-from lathe.llm.regions import Hashes, Windows, repeated, unite
+from lathe.llm.common import batch_limits, mix, texts
+from lathe.llm.regions import Hashes, Windows, ranks, repeated, unite, with_rows
 
 
 #: A random number for each byte.
@@ -111,56 +111,55 @@ def suffix_array(text: bytes | list[int]) -> list[int]:
     return out
 
 
-def repeats(regions: list[bytes], starts: list[int], size: int, block: int = 1 << 16) -> list[np.ndarray]:
-    """For each region, which of its first starts[i] strings of size bytes also begin earlier, here or in a region before."""
-    flat = bytearray()
-    which = []
-    for r, n in zip(regions, starts, strict=True):
-        which.append(np.arange(n) + len(flat))
-        flat += r
-    raw = bytes(flat)
-    own = np.concatenate(which)
+def repeats(pieces: list[bytes], starts: list[int], order: list[tuple[int, int, int]], size: int, block: int = 1 << 16) -> list[np.ndarray]:
+    """For each piece, which of its first starts[i] strings of size bytes equal one that is earlier by order, (document, first start, row)."""
+    flat = b"".join(pieces)
+    lengths = np.array(list(map(len, pieces)))
+    begin = np.cumsum(lengths) - lengths
+    own = np.repeat(begin - (np.cumsum(starts) - starts), starts) + np.arange(sum(starts))
+    early = np.empty(len(flat), np.int64)
+    early[own] = ranks(order, starts)
     # A string whose hash no other string of the shard has cannot repeat: only runs of the others, closer than their size, are
     # put into the array. What repeats is then decided on the bytes.
-    hashes = Hashes(SIGNS[np.frombuffer(raw, np.uint8)]).grams(size)[own]
+    hashes = Hashes(SIGNS[np.frombuffer(flat, np.uint8)]).grams(size)[own]
     _, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
     valid = own[counts[at] > 1]
     hit = np.zeros(len(flat), bool)
-    if not len(valid):
-        return [hit[w] for w in which]
-    near = valid[1:] - valid[:-1] < size
-    first, last = valid[np.concatenate(([True], ~near))], valid[np.concatenate((~near, [True]))]
-    text = b"".join([raw[a : b + size] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-    lengths = last - first + size
-    shift = first - np.concatenate(([0], np.cumsum(lengths)[:-1]))  # from places in text to places in flat
-    inside = np.zeros(len(text), bool)
-    inside[valid - np.repeat(shift, np.diff(np.append(np.searchsorted(valid, first), len(valid))))] = True
-    # Strings of size bytes that begin at valid places lie inside their run, so no separators are needed.
-    array = np.array(suffix_array(text), np.int64)
-    array = array[inside[array]]
-    array += shift[np.searchsorted(np.cumsum(lengths), array, side="right")]
-    views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), size)
-    same = np.zeros(len(array), bool)
-    for i in range(1, len(array), block):
-        j = min(len(array), i + block)
-        same[i:j] = (views[array[i:j]] == views[array[i - 1 : j - 1]]).all(axis=1)
-    heads = np.flatnonzero(~same)
-    least = np.minimum.reduceat(array, heads)[np.cumsum(~same) - 1]
-    hit[array] = array > least
-    return [hit[w] for w in which]
+    if len(valid):
+        near = valid[1:] - valid[:-1] < size
+        first, last = valid[np.concatenate(([True], ~near))], valid[np.concatenate((~near, [True]))]
+        text = b"".join([flat[a : b + size] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        lengths = last - first + size
+        shift = first - (np.cumsum(lengths) - lengths)  # from places in text to places in flat
+        inside = np.zeros(len(text), bool)
+        inside[valid - np.repeat(shift, np.diff(np.append(np.searchsorted(valid, first), len(valid))))] = True
+        # Strings of size bytes that begin at valid places lie inside their run, so no separators are needed.
+        array = np.array(suffix_array(text), np.int64)
+        array = array[inside[array]]
+        array += shift[np.searchsorted(np.cumsum(lengths), array, side="right")]
+        views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(flat, np.uint8), size)
+        same = np.zeros(len(array), bool)
+        for i in range(1, len(array), block):
+            j = min(len(array), i + block)
+            same[i:j] = (views[array[i:j]] == views[array[i - 1 : j - 1]]).all(axis=1)
+        least = np.minimum.reduceat(early[array], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+        hit[array] = early[array] > least
+    return [hit[a : a + n] for a, n in zip(begin.tolist(), starts, strict=True)]
 
 
 def remove_repeats(docs: DataFrame, size: int = 100, gram: int = 24, text: bool = True) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with text, what is kept (bytes) and the spans.
 
     Every byte that a string of size bytes covers which also starts earlier (smaller doc_id, or same document and earlier start)
-    is removed; strings are judged on the input. Null texts are empty; a null id counts as the smallest; rows that repeat a
-    doc_id are one document for what is earlier, and get the spans of both where their texts differ.
+    is removed; strings are judged on the input. Null texts are empty; an empty table gives no rows; other columns are not read.
+    Equal rows have equal results; rows that share a doc_id, or have none, with other texts are judged each by its own bytes: of
+    two equal strings the one with the smaller start stays, at one start that of the smaller text hash. Very long texts are
+    hashed in overlapping chunks; a text's spans are gathered with it.
     """
     batch_limits(docs.sparkSession)
     rules = Windows(words=False, size=size, gram=gram)
-    spans = repeated(docs, rules, lambda regions, starts: repeats(regions, starts, size))
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc")).join(spans, "doc", "left").select("doc_id", "text", "spans")
+    spans = repeated(docs, rules, lambda pieces, starts, order: repeats(pieces, starts, order, size))
+    keyed = with_rows(docs.select("doc_id", "text")).join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,13 +54,14 @@ def test_indexes_decide_like_sets(seed):
             own.append(p[i : i + size] in seen)
             seen.add(p[i : i + size])
         want.append(own)
-    assert [x.tolist() for x in suffix.repeats(parts, starts, size)] == want
+    order = [(i, 5 * i, -i) for i in range(len(parts))]
+    assert [x.tolist() for x in suffix.repeats(parts, starts, order, size)] == want
     spaced = [b" ".join(bytes([c]) for c in p) for p in parts]
-    assert [x.tolist() for x in substring.repeats(spaced, starts, size)] == want
+    assert [x.tolist() for x in substring.repeats(spaced, starts, order, size)] == want
 
 
 def test_fm_index_matching_statistics():
-    index = substring.FMIndex(np.array([1, 2, 1, 2, 3]), 5)
+    index = substring.FMIndex(np.array([1, 2, 1, 2, 3]))
     length, lo, hi = index.matches(np.array([1, 2, 3, 9]), np.array([1, 2, 3, 4]), 4)
     assert length.tolist() == [1, 2, 3, 0]
     assert (hi - lo).tolist()[:3] == [2, 2, 1]
@@ -82,8 +83,8 @@ def test_edge_rows(spark, kind):
 
 
 def test_hot_groups_take_the_expanded_way(spark, monkeypatch):
-    """Groups too large for one index are expanded to single windows."""
-    monkeypatch.setattr(regions, "GROUP", 300)
+    """Keys with too many different pieces for one index are dealt by single windows."""
+    monkeypatch.setattr(regions, "GROUP", 4)
     rng = random.Random(3)
     common = " ".join(f"c{i}" for i in range(30))
     rows = [(i, f"{rng.random()} x{rng.randint(0, 3)} {common} y{rng.randint(0, 3)} {rng.random()}") for i in range(60)]
@@ -92,6 +93,60 @@ def test_hot_groups_take_the_expanded_way(spark, monkeypatch):
     assert all((r.n_removed, r.kept_sha256) == want[r.doc_id] for r in out)
 
 
+def brute_rows(rows, words: bool, size: int) -> dict:
+    """As brute(), where rows share ids: by (doc_id, start), each text by its own windows."""
+    out = {}
+    windows = {}
+    for d, t in set(rows):
+        s = t.split() if words else t
+        windows[d, t] = [(b" ".join(s[i : i + size]) if words else s[i : i + size]) for i in range(len(s) - size + 1)]
+    rank = lambda d: -(2**63) if d is None else d
+    first: dict = {}
+    for (d, _), own in windows.items():
+        for i, w in enumerate(own):
+            first[w] = min(first.get(w, (rank(d), i)), (rank(d), i))
+    for (d, t), own in windows.items():
+        edge = np.zeros(len(own) + size, int)
+        for i, w in enumerate(own):
+            if first[w] < (rank(d), i):
+                edge[i] += 1
+                edge[i + size] -= 1
+        out[d, t] = int((np.cumsum(edge) > 0).sum())
+    return out
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_rows_that_share_an_id_keep_their_own_words(spark, words):
+    passage = " ".join(f"p{i}" for i in range(40))
+    own = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(5, f"{own('r')} other"), (5, f"x {passage}"), (5, f"x y {passage} z"), (1, f"begin {passage}"), (5, own("q")), (None, f"{own('n')} {passage}"),
+            (None, own("m")), (None, f"{own('m')} {own('k')}"), (7, passage), (7, passage), (None, None), (None, ""), (6, f"{own('q')} tail")]
+    size = 20 if words else 100
+    want = brute_rows([(d, (t or "").encode()) for d, t in rows], words, size)
+    frame = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int")
+    out = (substring if words else suffix).remove_repeats(frame, size=size)
+    got = sorted((str(r.doc_id), r.n_removed) for r in out.collect())
+    # Of the two rows with id None that begin alike, at one start, one stays whole.
+    tied = {(None, rows[6][1].encode()), (None, rows[7][1].encode())}
+    extra = 30 if words else len(own("m"))
+    assert sum(n for _, n in got) == sum(want[d, (t or "").encode()] for d, t in rows) + extra
+    assert [x for x in got if x[0] != "None"] == sorted((str(d), want[d, (t or "").encode()]) for d, t in rows if d is not None)
+    assert tied <= want.keys()
+
+
+def test_stage_edits_rows_by_row(spark):
+    """Null texts stay null next to changed rows; column names do not clash; rows that share an id keep their own words."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(1, passage, "a"), (2, f"x {passage} y", "b"), (3, None, "c"), (3, "", "d"), (2, "other words", "e"), (None, None, "f"), (None, f"{passage} n", "g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    frame = frame.selectExpr("doc_id", "spans", "text", "1 AS doc", "2 AS row", "'k' AS `__doc`", "0 AS `__spans`", "length(text) AS n_chars", "3 AS c0").coalesce(1)
+    out = substring.keep_first_passages(frame)
+    assert out.columns == frame.columns
+    got = {r.spans: r for r in out.collect()}
+    assert {k: r.text for k, r in got.items()} == {"a": "", "b": "x y", "c": None, "d": "", "e": "other words", "f": None, "g": f"{passage} n"}
+    assert [got[k].n_chars for k in "abce"] == [0, 3, None, 11] and all((r.doc, r.row, r["__doc"], r["__spans"], r.c0) == (1, 2, "k", 0, 3) for r in got.values())
+
+
 def test_stage_keeps_columns(spark):
     df = documents(spark)
     out = substring.keep_first_passages(df)

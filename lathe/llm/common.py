@@ -39,7 +39,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     files, at = file_system(spark, path)
     files.deleteOnExit(at)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     STAGED[id(out)] = path
     return out

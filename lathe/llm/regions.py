@@ -212,7 +212,7 @@ def ranks(order: list[tuple[int, int, int]], starts: list[int]) -> np.ndarray:
     return out
 
 
-PIECES = "key long, r long, doc long, row long, lo long, n long, symbols binary"
+PIECES = "key long, doc long, row long, lo long, n long, symbols binary"
 #: Symbols' bytes gathered for one index; the most different pieces of one key; bytes of pieces compared in a task before the shuffle.
 SHARD = 1 << 19
 GROUP = 4096
@@ -225,7 +225,7 @@ class Pieces:
 
     def __init__(self, size: int):
         self.size, self.first, self.weight = size, {}, 0
-        self.spans: list[tuple] = []
+        self.spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def add(self, symbols: bytes, doc: int, lo: int, row: int, n: int, p: int = 0) -> None:
         new, old = (doc, lo, row, n, p), self.first.get(symbols)
@@ -235,15 +235,17 @@ class Pieces:
         elif old != new:
             if new < old:
                 self.first[symbols], new = new, old
-            self.spans.append((None, None, new[0], new[2], new[1], new[1] + new[3] - 1 + self.size, None))
+            self.spans.setdefault((new[0], new[2]), []).append((new[1], new[1] + new[3] - 1 + self.size))
+            self.weight += 100
 
     def full(self) -> bool:
-        return self.weight + 100 * len(self.spans) > HELD
+        return self.weight > HELD
 
     def out(self, cut: Callable[[bytes, tuple], list[tuple]]) -> Iterator[pa.RecordBatch]:
         """All rows; cut makes those of a piece from its symbols and (doc, lo, row, n, p)."""
-        rows, self.spans = self.spans, []
-        items, self.first, self.weight = list(self.first.items()), {}, 0
+        rows = [(None, doc, row, a, b, None) for (doc, row), found in self.spans.items() for a, b in united(found)]
+        items = list(self.first.items())
+        self.spans, self.first, self.weight = {}, {}, 0
         for at in range(0, len(items), 10_000):
             for symbols, x in items[at : at + 10_000]:
                 rows += cut(symbols, x)
@@ -254,8 +256,19 @@ class Pieces:
 
 
 def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=[x.split()[0] for x in PIECES.split(", ")])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names=[x.split()[0] for x in PIECES.split(", ")])
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, united where they touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def digest(symbols: bytes) -> int:
@@ -264,7 +277,7 @@ def digest(symbols: bytes) -> int:
 
 def cut_pieces(asked: DataFrame, rules: Windows) -> DataFrame:
     """Rows (doc, row, text, places) -> PIECES. A region is divided at the windows that begin half a window before the anchor: all
-    windows of a half share half a window next to the anchor, which is the key. r tells pieces apart, for counting alone."""
+    windows of a half share half a window next to the anchor, which is the key."""
     size, half, k = rules.size, rules.size // 2, rules.gram
 
     def cut(symbols: bytes, x: tuple) -> list[tuple]:
@@ -274,11 +287,11 @@ def cut_pieces(asked: DataFrame, rules: Windows) -> DataFrame:
         if last >= middle:
             a = max(0, middle)
             piece = rules.join(s[a:])
-            out.append((digest(rules.join(s[p : p + half])), digest(piece), doc, row, lo + a, n - a, piece))
+            out.append((digest(rules.join(s[p : p + half])), doc, row, lo + a, n - a, piece))
         if middle > 0:
             e = min(last, middle - 1)
             piece = rules.join(s[: e + size])
-            out.append((~digest(rules.join(s[middle - 1 : p + k])), digest(piece), doc, row, lo, e + 1, piece))
+            out.append((~digest(rules.join(s[middle - 1 : p + k])), doc, row, lo, e + 1, piece))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +315,7 @@ def single_windows(pieces: DataFrame, rules: Windows) -> DataFrame:
     size = rules.size
 
     def cut(symbols: bytes, x: tuple) -> list[tuple]:
-        return [(digest(symbols), 0, x[0], x[2], x[1], 1, symbols)]
+        return [(digest(symbols), x[0], x[2], x[1], 1, symbols)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Pieces(size)
@@ -388,14 +401,17 @@ def repeated(docs: DataFrame, rules: Windows, decide: Decide) -> DataFrame:
     release(spark)
     # Keys with more different pieces than one index holds: their windows are dealt by all their symbols instead.
     dealt = pieces.where("key is not null")
-    hot = staged(dealt.select("key", "r").distinct().groupBy("key").count().where(F.col("count") > GROUP).select("key"), "hot-keys")
     spans_of = lambda x: x.where("key is null").select("doc", "row", F.col("lo").alias("a"), F.col("n").alias("b"))
     spans = spans_of(pieces)
+    hot = staged(dealt.groupBy("key").count().where(F.col("count") > GROUP).select("key"), "frequent-keys")
+    if not hot.isEmpty():
+        several = dealt.join(hot, "key").select("key", F.xxhash64("symbols").alias("r")).distinct()
+        hot = staged(several.groupBy("key").count().where(F.col("count") > GROUP).select("key"), "hot-keys")
     if not hot.isEmpty():
         wide = staged(single_windows(dealt.join(hot, "key"), rules), "windows")
         spans = spans.unionByName(spans_of(wide))
         dealt = dealt.join(hot, "key", "left_anti").unionByName(wide.where("key is not null"))
-    dealt = dealt.drop("r").repartition(n, "key").sortWithinPartitions("key", "doc", "lo", "row")
+    dealt = dealt.repartition(n, "key").sortWithinPartitions("key", "doc", "lo", "row")
     more = staged(dealt.mapInArrow(lambda b: decided(b, rules, decide), SPANS), "decided")
     release(spark)
     return spans.unionByName(more).groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
@@ -403,10 +419,4 @@ def repeated(docs: DataFrame, rules: Windows, decide: Decide) -> DataFrame:
 
 def unite(spans: list[dict] | None, limit: int) -> list[tuple[int, int]]:
     """Spans in order, united where they touch and cut off at limit."""
-    out: list[list[int]] = []
-    for a, b in sorted((x["a"], min(x["b"], limit)) for x in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        elif a < b:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    return united([(x["a"], min(x["b"], limit)) for x in spans or () if x["a"] < limit])

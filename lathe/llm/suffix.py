@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes that an equal string of fixed length covered earlier are removed.
 
-The array is built by grouping: suffixes are first put into groups by their Lyndon prefix, groups being taken in descending order
-and joined on by pointers to the previous smaller group; then each group's own order follows from suffixes already in place. No
-recursion, no renaming.
+The array is built by grouping in linear time: suffixes are first put into groups by their Lyndon prefix, groups being taken in
+descending order and joined on by pointers to the previous smaller group; then each group's own order follows from suffixes already
+in place. No recursion, no renaming, no sorting.
 """
 
 from __future__ import annotations
@@ -44,51 +44,66 @@ def suffix_array(text: bytes | list[int]) -> list[int]:
             place[i] = j
             group[i] = at
         at += len(members)
-    smaller = [-1] * n  # suffix -> nearest one before it whose group is lower
+    smaller = [-2] * n  # suffix -> nearest one before it whose group is lower; -2 while its group is not final
     # First phase. All groups above `top` are final. Lyndon prefixes of lower suffixes grow by the group's own.
     top = n
     while top:
-        first = group[order[top - 1]]
-        hits: dict[int, int] = {}
-        for i in sorted(order[first:top]):
+        i = order[top - 1]
+        first = group[i]
+        if first == top - 1:  # one suffix alone
             p = i - 1
             while p >= 0 and group[p] >= first:
                 p = smaller[p]
             smaller[i] = p
+            top = first
             if p >= 0:
-                hits[p] = hits.get(p, 0) + 1
+                g = group[p]
+                if count[g] > 1:
+                    count[g] -= 1
+                    e = g + count[g]
+                    j, other = place[p], order[e]
+                    order[e], order[j] = p, other
+                    place[p], place[other] = e, j
+                    group[p] = e
+                    count[e] = 1
+            continue
+        hits: dict[int, int] = {}
+        for i in order[first:top]:
+            if smaller[i] == -2:
+                # What lies between two of the group is higher, so those met on the way have the same pointer.
+                chain, p = [i], i - 1
+                while p >= 0 and group[p] >= first:
+                    if smaller[p] == -2:
+                        chain.append(p)
+                        p -= 1
+                    else:
+                        p = smaller[p]
+                for j in chain:
+                    smaller[j] = p
+                if p >= 0:
+                    hits[p] = hits.get(p, 0) + len(chain)
         top = first
-        if len(hits) == 1:
-            ((p, _),) = hits.items()
-            g = group[p]
-            if count[g] > 1:
-                count[g] -= 1
-                e = g + count[g]
-                j, other = place[p], order[e]
-                order[e], order[j] = p, other
-                place[p], place[other] = e, j
-                group[p] = e
-                count[e] = 1
+        if not hits:
             continue
-        # Those followed by the group most often come last in their own groups, as new groups.
-        by: dict[tuple[int, int], list[int]] = {}
+        # Those followed by the group most often come last in their own groups, as new groups: by falling number, without sorting.
+        by: list[dict[int, list[int]]] = [{} for _ in range(max(hits.values()))]
         for p, k in hits.items():
-            by.setdefault((group[p], k), []).append(p)
-        for g, k in sorted(by, reverse=True):
-            members = by[g, k]
-            rest = count[g] - len(members)
-            if not rest:
-                continue
-            e = g + count[g]
-            for p in members:
-                e -= 1
-                j, other = place[p], order[e]
-                order[e], order[j] = p, other
-                place[p], place[other] = e, j
-            for p in members:
-                group[p] = e
-            count[g] = rest
-            count[e] = len(members)
+            by[k - 1].setdefault(group[p], []).append(p)
+        for found in reversed(by):
+            for g, members in found.items():
+                rest = count[g] - len(members)
+                if not rest:
+                    continue
+                e = g + count[g]
+                for p in members:
+                    e -= 1
+                    j, other = place[p], order[e]
+                    order[e], order[j] = p, other
+                    place[p], place[other] = e, j
+                for p in members:
+                    group[p] = e
+                count[g] = rest
+                count[e] = len(members)
     # Second phase. The end of text stands before all; a suffix in place puts those behind it, whose next smaller it is.
     out = [-1] * n
     free = list(range(n))

@@ -6,27 +6,26 @@ likeliest, by counts of the classes around it. Only unseen words and those seen
 probability is the product, over its words and an end, of the class's probability after the class before and the word's
 probability in its class.
 
-Word counts of the whole corpus are never in one place. Documents are read in batches; of each batch, each bucket of the
-vocabulary gets one row with the batch's own words of that bucket and how often each document has them. A bucket's task adds up
-the counts and returns, for each batch, the sum of the logs that each document needs.
+The documents are tokenized once, into batches of bounded size with a dictionary each; all later phases work on the numbers. What a
+phase needs to know of words (counts, classes) is joined to the batches' dictionaries: the most frequent words, of a bounded number,
+are sent along, the others meet in a join by word. So no task or driver holds the vocabulary, and a row's results come from its own
+batch, never by a key made from its text.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import batch_limits, partitions, record_batches, release, staged, texts
-from lathe.llm.simhash import LOWER
+from lathe.llm.common import batch_limits, dropped, partitions, record_batches, release, split_words, staged
 
 #: Classes of words by shape: three marks and a length in 8 steps.
 SHAPES = 64
@@ -41,7 +40,8 @@ def shape(word: bytes) -> int:
 @dataclass(frozen=True)
 class Rules:
     """frequent: words that are exchanged; floor: the least count of a word that joins their classes; growth: how many times the
-    words before it a window of joining words holds; classes: their number; sweeps: of the exchange; smooth: added counts."""
+    words before it a window of joining words holds; classes: their number; sweeps: of the exchange; smooth: added counts; hot: the
+    most words whose counts and classes are sent to all tasks, others are joined; batch: bytes of text in a batch."""
 
     frequent: int = 1000
     floor: int = 2
@@ -49,6 +49,8 @@ class Rules:
     classes: int = 48
     sweeps: int = 8
     smooth: float = 0.5
+    hot: int = 1 << 15
+    batch: int = 1 << 23
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -62,154 +64,104 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.dtype(x[:1].decode()), offset=1).astype(np.int64)
 
 
-def key_of(doc_id: int | None, text: bytes) -> int:
-    """Tells rows apart; equal rows share it."""
-    return xxhash.xxh3_64_intdigest(text, 0 if doc_id is None else (doc_id + 1) % 2**64) - 2**63
+CODED = "batch long, ids binary, absent binary, learn binary, sizes binary, words binary, index binary"
 
 
-def hash_of(word: bytes) -> int:
-    """Stands for a word of the vocabulary in tasks and on the driver."""
-    return xxhash.xxh3_64_intdigest(word) - 2**63
+def coded(docs: DataFrame, limit: int) -> DataFrame:
+    """docs(doc_id, text, learn) -> a row for each batch: its documents' ids, which are null and which are learned from, their numbers
+    of words, the batch's different words, and the number of each word in order. A text over limit bytes is a batch of its own."""
+    names = [x.split()[0] for x in CODED.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId() << 33, 0
+        for b in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
+                cut = b.slice(at, end - at)
+                at = end
+                words, index, offsets = split_words(cut.column("text"), lower=True)
+                ids = cut.column("doc_id")
+                absent = np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes()
+                learn = np.packbits(cut.column("learn").to_numpy(zero_copy_only=False)).tobytes()
+                row = (part + number, pc.fill_null(ids.cast(pa.int64()), 0).to_numpy().tobytes(), absent, learn, packed(np.diff(offsets)), b" ".join(words), packed(index))
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(row)], names=names)
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(run, CODED)
+
+
+class Batch:
+    """A row of CODED: words, index and sizes; learn: by document; doc: the document of each token."""
+
+    def __init__(self, row: dict):
+        self.row, self.words = row, row["words"].split(b" ") if row["words"] else []
+        self.index, self.sizes = unpacked(row["index"]), unpacked(row["sizes"])
+        self.learn = np.unpackbits(np.frombuffer(row["learn"], np.uint8), count=len(self.sizes)).astype(bool)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def flat(self, numbers: np.ndarray, end: int, learn: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text (learn: of those learned from) the end, its words' numbers and the end, in one row; and where each begins."""
+        sizes, tokens = self.sizes, numbers[self.index]
+        if learn:
+            tokens, sizes = tokens[self.learn[self.doc]], sizes[self.learn]
+        out = np.full(len(tokens) + 2 * len(sizes), end, np.int64)
+        out[np.arange(len(tokens)) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1] = tokens
+        return out, np.append(0, np.cumsum(sizes + 2))
+
+
+def coded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield Batch(b.slice(i, 1).to_pylist()[0])
 
-BUCKETED = "bucket int, batch long, words binary, word binary, doc binary, times binary, learn binary, keys binary"
 
+def word_counts(batches: DataFrame) -> DataFrame:
+    """CODED -> (word, n, shape): how often each word was learned from."""
 
-def dealt(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(doc_id, text, learn) -> a row for each batch and bucket. keys, in bucket 0 alone: of the batch's documents, in order."""
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in coded_batches(found):
+            n = np.bincount(b.index[b.learn[b.doc]], minlength=len(b.words))
+            at = np.flatnonzero(n)
+            yield from record_batches({"word": ([b.words[i] for i in at.tolist()], pa.binary()), "n": (n[at], pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, b in enumerate(batches):
-            ids: dict[bytes, int] = {}
-            flat, sizes, keys = [], [], []
-            for doc, t in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
-                words = t.translate(LOWER).split()
-                flat.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
-                sizes.append(len(words))
-                keys.append(key_of(doc, t))
-            pair, times = np.unique((np.repeat(np.arange(len(sizes)), sizes) << 32) | (np.concatenate(flat) if flat else np.zeros(0, np.int64)), return_counts=True)
-            doc, word = pair >> 32, pair & 0xFFFFFFFF
-            names = list(ids)
-            home = np.fromiter((zlib.crc32(w) % buckets for w in names), np.int64, len(names))
-            order = np.argsort(home[word], kind="stable")
-            doc, word, times = doc[order], word[order], times[order]
-            cuts = np.searchsorted(home[word], np.arange(buckets + 1))
-            learn = np.packbits(np.array(b.column("learn").to_pylist(), bool)).tobytes()
-            rows = []
-            for k in range(buckets):
-                d, w, n = (x[cuts[k] : cuts[k + 1]] for x in (doc, word, times))
-                if k and not len(d):
-                    continue
-                own, w = np.unique(w, return_inverse=True)
-                rows.append((k, part * 2**32 + number, b" ".join([names[i] for i in own.tolist()]), packed(w), packed(d), packed(n), learn, np.array(keys, np.int64).tobytes() if k == 0 else None))
-            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in BUCKETED.split(", ")])
-
-    return docs.select("doc_id", "text", "learn").mapInArrow(run, BUCKETED)
+    def shaped(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield b.append_column("shape", pa.array(map(shape, b.column("word").to_pylist()), pa.int32()))
 
+    counts = batches.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.mapInArrow(shaped, "word binary, n long, shape int")
 
-SUMMED = "kind string, batch long, keys binary, logs binary, known binary, word binary, hash long, shape int, n long, v long"
 
+def attached(batches: DataFrame, vocabulary: DataFrame, hot: dict[bytes, tuple[int, int]]) -> DataFrame:
+    """CODED with found: for the batch's words that are not hot, in order, (place, n, class) from vocabulary(word, n, class)."""
+    shared = batches.sparkSession.sparkContext.broadcast(hot)
 
-def summed(batches: Iterator[pa.RecordBatch], floor: int, smooth: float) -> Iterator[pa.RecordBatch]:
-    """All rows of some buckets -> kind 'docs': each batch's sums of log10(count + smooth) and known words by document; kind 'word':
-    the words with a count of floor or more; kind 'shape': training tokens n and kinds v of words by shape."""
-    names = [x.split()[0] for x in SUMMED.split(", ")]
-    kinds = [pa.string(), pa.int64()] + [pa.binary()] * 4 + [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for b in coded_batches(found):
+            at = [i for i, w in enumerate(b.words) if w not in hot]
+            yield from record_batches({"batch": (np.full(len(at), b.row["batch"]), pa.int64()), "place": (at, pa.int32()), "word": ([b.words[i] for i in at], pa.binary())})
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+    rare = batches.mapInArrow(run, "batch long, place int, word binary").join(vocabulary, "word")
+    rare = rare.groupBy("batch").agg(F.collect_list(F.struct("place", "n", "class")).alias("found"))
+    return batches.join(rare, "batch", "left")
 
-    counts: dict[bytes, int] = {}
-    rows: list[dict] = []
-    for b in batches:
-        for r in b.to_pylist():
-            words, doc, word, times = r["words"].split(), unpacked(r["doc"]), unpacked(r["word"]), unpacked(r["times"])
-            learn = np.unpackbits(np.frombuffer(r["learn"], np.uint8))
-            r["size"] = len(learn)
-            total = np.bincount(word, weights=times * learn[doc], minlength=len(words)).astype(np.int64)
-            for w, n in zip(words, total.tolist(), strict=True):
-                if n:
-                    counts[w] = counts.get(w, 0) + n
-            rows.append(r)
-    for r in rows:
-        words, doc, word, times = r["words"].split(), unpacked(r["doc"]), unpacked(r["word"]), unpacked(r["times"])
-        c = np.fromiter((counts.get(w, 0) for w in words), np.int64, len(words))
-        logs = np.bincount(doc, weights=times * np.log10(c + smooth)[word], minlength=r["size"]) if len(words) else np.zeros(r["size"])
-        known = np.bincount(doc, weights=times * (c > 0)[word], minlength=r["size"]) if len(words) else np.zeros(r["size"])
-        yield batch([("docs", r["batch"], r["keys"], logs.tobytes(), packed(known.astype(np.int64)), None, None, None, None, None)])
-    out: list[tuple] = []
-    for w, n in counts.items():
-        if n >= floor:
-            out.append(("word", None, None, None, None, w, hash_of(w), shape(w), n, None))
-            if len(out) >= 1 << 14:
-                yield batch(out)
-                out = []
-    n_of, v_of = [0] * SHAPES, [0] * SHAPES
-    for w, n in counts.items():
-        s = shape(w)
-        n_of[s] += n
-        v_of[s] += 1
-    out += [("shape", None, None, None, None, None, None, s, n_of[s], v_of[s]) for s in range(SHAPES) if v_of[s]]
-    if out:
-        yield batch(out)
-
-
-def by_document(found: DataFrame) -> DataFrame:
-    """Rows of kind 'docs' -> (key, logs, known): each document's sums over all buckets."""
-    n = partitions(found.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, logs, known = None, None, None, None
+def known(b: Batch, hot: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class (-1: none yet) of each of the batch's words."""
+    n, cls = np.zeros(len(b.words), np.int64), np.full(len(b.words), -1, np.int64)
+    rows = [(i, *hot[w]) for i, w in enumerate(b.words) if w in hot]
+    rows += [(x["place"], x["n"], -1 if x["class"] is None else x["class"]) for x in b.row["found"] or ()]
+    if rows:
+        at, count, c = np.array(rows, np.int64).T
+        n[at], cls[at] = count, c
+    return n, cls
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if now is not None:
-                ids = np.frombuffer(keys, np.int64)
-                yield from record_batches({"key": (ids, pa.int64()), "logs": (logs[: len(ids)], pa.float64()), "known": (known[: len(ids)], pa.int64())})
 
-        for b in batches:
-            for r in b.to_pylist():
-                if r["batch"] != now:
-                    yield from out()
-                    now, keys, logs, known = r["batch"], None, 0.0, 0
-                keys = r["keys"] if r["keys"] is not None else keys
-                logs, known = logs + np.frombuffer(r["logs"], np.float64), known + unpacked(r["known"])
-        yield from out()
-
-    rows = found.where("kind = 'docs'").select("batch", "keys", "logs", "known").repartition(n, "batch").sortWithinPartitions("batch")
-    return rows.mapInArrow(run, "key long, logs double, known long")
-
-
-class Symbols:
-    """Numbers of words: those of the vocabulary, by its sorted hashes, as given; others' by shape from end + 1 on. What is kept of
-    words met is bounded."""
-
-    LIMIT = 1 << 19
-
-    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, end: int):
-        self.hashes, self.numbers, self.end = hashes, numbers, end
-        self.met: dict[bytes, int] = {}
-
-    def flat(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text the end, its words' numbers and the end, in one row; and where each text begins, and the row ends."""
-        lists = [t.translate(LOWER).split() for t in batch]
-        if len(self.met) > self.LIMIT:
-            self.met.clear()
-        new = list(set().union(*lists) - self.met.keys())
-        if new:
-            own = np.fromiter(map(hash_of, new), np.int64, len(new))
-            at = np.minimum(np.searchsorted(self.hashes, own), max(0, len(self.hashes) - 1))
-            known = self.hashes[at] == own if len(self.hashes) else np.zeros(len(new), bool)
-            numbers = self.numbers[at].tolist() if len(self.hashes) else [0] * len(new)
-            self.met.update((w, n if k else self.end + 1 + shape(w)) for w, n, k in zip(new, numbers, known.tolist(), strict=True))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 2
-        starts = np.append(0, np.cumsum(sizes))
-        out = np.full(starts[-1], self.end, np.int64)
-        get = self.met.__getitem__
-        for at, words in zip(starts.tolist(), lists):
-            out[at + 1 : at + 1 + len(words)] = np.fromiter(map(get, words), np.int64, len(words))
-        return out, starts
+def shapes_of(b: Batch, at: np.ndarray) -> np.ndarray:
+    return np.fromiter((shape(b.words[i]) for i in at.tolist()), np.int64, len(at))
 
 
 def followed(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,23 +179,24 @@ def gathered(counts: DataFrame, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def pair_counts(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
-    """How often each symbol follows each in docs(text); at most (frequent + shapes + 1) squared numbers reach the driver."""
-    own = np.array([hash_of(w) for w in frequent], np.int64)
-    order = np.argsort(own)
-    size = len(frequent) + 1 + SHAPES
+def pair_counts(batches: DataFrame, frequent: list[bytes]) -> np.ndarray:
+    """How often each symbol follows each; at most (frequent + shapes + 1) squared numbers reach the driver."""
+    number, end = {w: i for i, w in enumerate(frequent)}, len(frequent)
+    size = end + 1 + SHAPES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(own[order], order, len(frequent))
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size**2, np.int64)
-        for b in batches:
-            x, y = followed(*symbols.flat(texts(b.column("text"))))
+        for b in coded_batches(found):
+            own = np.fromiter((number.get(w, -1) for w in b.words), np.int64, len(b.words))
+            rest = np.flatnonzero(own < 0)
+            own[rest] = end + 1 + shapes_of(b, rest)
+            x, y = followed(*b.flat(own, end))
             code, n = np.unique(x * size + y, return_counts=True)
             total[code] += n
         at = np.flatnonzero(total)
         yield from record_batches({"code": (at, pa.int64()), "n": (total[at], pa.int64())})
 
-    return gathered(docs.select("text").mapInArrow(run, "code long, n long"), size)
+    return gathered(batches.mapInArrow(run, "code long, n long"), size)
 
 
 def inserted(counts: np.ndarray, shapes: np.ndarray, grid: np.ndarray, classes: int) -> np.ndarray:
@@ -271,95 +224,92 @@ def inserted(counts: np.ndarray, shapes: np.ndarray, grid: np.ndarray, classes:
     return gain.argmax(axis=1)
 
 
-def joined(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], window: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of window(hash, shape) join the classes of those known (sorted hashes, classes) -> sorted hashes and classes of both;
-    and by class left and joined, (shape, class, tokens, words). Counts of each word lie in one of many buckets."""
-    spark = docs.sparkSession
-    got = window.groupBy("hash").agg(F.min("shape").alias("shape")).toArrow()
-    hashes = got.column("hash").to_numpy()
-    order = np.argsort(hashes)
-    hashes, shapes = hashes[order], got.column("shape").to_numpy()[order].astype(np.uint8)
-    fresh = ~np.isin(hashes, known[0])
-    hashes, shapes = hashes[fresh], shapes[fresh]
-    total, width = classes + 1 + SHAPES, 2 * (classes + 1 + SHAPES) + 1
-    buckets = max(64, partitions(spark), len(hashes) >> 14)
-    both = np.concatenate((known[0], hashes))
-    numbers = np.concatenate((known[1].astype(np.int32), total + np.arange(len(hashes), dtype=np.int32)))
-    order = np.argsort(both)
-    both, numbers = both[order], numbers[order]
-    shared = spark.sparkContext.broadcast((both, numbers, shapes))
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, numbers, shapes = shared.value
-        symbols = Symbols(hashes, numbers, classes)
-        grid, held, size = np.zeros(total**2, np.int64), [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            word, code = code // width, code % width
-            home = word % buckets
-            order = np.argsort(home, kind="stable")
-            word, code, n = word[order] // buckets * width + code[order], home[order], n[order]
-            cuts = np.flatnonzero(np.append(True, code[1:] != code[:-1])).tolist()
-            rows = [(int(code[a]), packed(word[a:b]), packed(n[a:b])) for a, b in zip(cuts, [*cuts[1:], len(code)], strict=True)]
-            k, w, m = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.binary()), pa.array(m, pa.binary()), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64())], names=["bucket", "codes", "times", "code", "n"])
+def binary_lists(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of data from each cut to the next."""
+    offsets = (cuts * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
-        for b in batches:
-            x, y = followed(*symbols.flat(texts(b.column("text"))))
-            new_x, new_y = x >= total, y >= total
-            cx, cy = x.copy(), y.copy()
-            cx[new_x] = classes + 1 + shapes[x[new_x] - total]
-            cy[new_y] = classes + 1 + shapes[y[new_y] - total]
+
+AROUND = "word binary, codes binary, times binary, code long, n long"
+
+
+def joined(batches: DataFrame, hot: dict[bytes, tuple[int, int]], low: int, high: int, classes: int) -> DataFrame:
+    """attached() batches -> (word, n, shape, class) of the words without a class whose count is from low to high: each joins the class
+    that its neighbours' classes make likeliest. A task holds one word's counts at a time."""
+    spark = batches.sparkSession
+    total = classes + 1 + SHAPES
+    width = 2 * total + 1
+    shared = spark.sparkContext.broadcast(hot)
+    names = [x.split()[0] for x in AROUND.split(", ")]
+
+    def around(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros(total**2, np.int64)
+        for b in coded_batches(found):
+            n, cls = known(b, shared.value)
+            new = (cls < 0) & (n >= low) & (n <= high)
+            rest = np.flatnonzero(cls < 0)
+            cls[rest] = classes + 1 + shapes_of(b, rest)
+            # Numbers from total on are new words, whose class is still that of their shape.
+            x, y = followed(*b.flat(np.where(new, total + np.arange(len(new)), cls), classes))
+            class_of = np.append(np.arange(total), cls)
+            cx, cy = class_of[x], class_of[y]
             grid += np.bincount(cx * total + cy, minlength=total**2)
+            new_x, new_y = x >= total, y >= total
             itself = new_x & (x == y)
-            held += [(x[new_x] - total) * width + np.where(itself, 2 * total, cy)[new_x]]
+            held = [(x[new_x] - total) * width + np.where(itself, 2 * total, cy)[new_x]]
             new_y &= ~itself
-            held += [(y[new_y] - total) * width + total + cx[new_y]]
-            size += len(held[-1]) + len(held[-2])
-            if size > 1 << 21:
-                yield from out()
-                held, size = [], 0
-        if size:
-            yield from out()
+            held.append((y[new_y] - total) * width + total + cx[new_y])
+            code, times = np.unique(np.concatenate(held), return_counts=True)
+            if not len(code):
+                continue
+            word = code // width
+            cuts = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))
+            own = [b.words[i] for i in word[cuts[:-1]].tolist()]
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), binary_lists((code % width).astype(np.uint8 if width < 256 else np.uint16), cuts), binary_lists(times.astype(np.int32), cuts), none, none], names=names)
         at = np.flatnonzero(grid)
         none = pa.nulls(len(at), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), none, none, pa.array(at, pa.int64()), pa.array(grid[at], pa.int64())], names=["bucket", "codes", "times", "code", "n"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at, pa.int64()), pa.array(grid[at], pa.int64())], names=names)
 
-    met = staged(docs.select("text").mapInArrow(around, "bucket int, codes binary, times binary, code long, n long"), "word-classes")
-    grid = gathered(met.where("bucket is null").select("code", "n"), total)
+    met = staged(batches.mapInArrow(around, AROUND), "word-classes")
+    grid = gathered(met.where("word is null").select("code", "n"), total)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = shared.value[2]
-        now, counts = None, np.zeros((0, width))
+    def join(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros((1, width))  # the last word may go on in the next batch
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(counts), 256):
-                part = counts[at : at + 256]
-                word = now + (at + np.arange(len(part))) * buckets
-                leaves = shapes[word].astype(np.int64)
+        def out(words: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(words), 256):
+                own, part = words[at : at + 256], counts[at : at + 256]
+                leaves = np.fromiter(map(shape, own), np.int64, len(own))
                 c = inserted(part, classes + 1 + leaves, grid, classes)
                 n = part[:, total:].sum(axis=1).astype(np.int64)
-                yield from record_batches({"word": (word, pa.int64()), "shape": (leaves, pa.int32()), "class": (c, pa.int32()), "n": (n, pa.int64())})
-
-        for b in batches:
-            for k, codes, times in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != now:
-                    yield from out()
-                    now, counts = k, np.zeros((len(range(k, len(shapes), buckets)), width))
-                counts.ravel()[unpacked(codes)] += unpacked(times)
-        yield from out()
-
-    rows = met.where("bucket is not null").select("bucket", "codes", "times").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = staged(rows.mapInArrow(join, "word long, shape int, class int, n long"), "joined-words")
-    got = found.select("word", "class").toArrow()
-    cls = np.zeros(len(hashes), np.int32)
-    cls[got.column("word").to_numpy()] = got.column("class").to_numpy()
-    new = numbers >= total
-    numbers[new] = cls[numbers[new] - total]
-    moved = found.groupBy("shape", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+                yield from record_batches({"word": (own, pa.binary()), "n": (n, pa.int64()), "shape": (leaves, pa.int32()), "class": (c, pa.int32())})
+
+        for batch in found:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                words, codes, times = (b.column(i).to_pylist() for i in range(3))
+                first = [i for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
+                kinds = [words[i] for i in first]
+                counts = np.zeros((len(kinds), width))
+                sizes = [len(t) // 4 for t in times]
+                row = np.repeat(np.repeat(np.arange(len(kinds)), np.diff([*first, len(words)])), sizes)
+                code = np.frombuffer(b"".join(codes), np.uint8 if width < 256 else np.uint16)
+                np.add.at(counts, (row, code), np.frombuffer(b"".join(times), np.int32))
+                if last == kinds[0]:
+                    counts[0] += held[0]
+                elif last is not None:
+                    yield from out([last], held)
+                yield from out(kinds[:-1], counts[:-1])
+                last, held = kinds[-1], counts[-1:].copy()
+        if last is not None:
+            yield from out([last], held)
+
+    rows = met.where("word is not null").select("word", "codes", "times").repartition(partitions(spark), "word").sortWithinPartitions("word")
+    found = staged(rows.mapInArrow(join, "word binary, n long, shape int, class int"), "joined-words")
+    dropped(met)
     release(spark)
-    return both, numbers, np.array([tuple(r) for r in moved], np.int64).reshape(-1, 4)
+    return found
 
 
 def windows(counts: list[tuple[int, int]], have: int, growth: int) -> list[tuple[int, int]]:
@@ -425,83 +375,107 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int) -> np.nda
     return cls
 
 
-def class_rows(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], classes: int) -> DataFrame:
-    """docs(doc_id, text, learn) -> (doc_id, learn, key, classes: those of end, words and end, a byte each)."""
-    shared = docs.sparkSession.sparkContext.broadcast((known[0], known[1].astype(np.uint8)))
+WALKED = "ids binary, absent binary, learn binary, sizes binary, classes binary, logs binary, known binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(*shared.value, classes)
-        for b in batches:
-            raw = texts(b.column("text"))
-            flat, starts = symbols.flat(raw)
-            flat = flat.astype(np.uint8).tobytes()
-            cut = [flat[x:y] for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            keys = [key_of(d, t) for d, t in zip(b.column("doc_id").to_pylist(), raw, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("learn"), pa.array(keys, pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "learn", "key", "classes"])
 
-    return docs.select("doc_id", "text", "learn").mapInArrow(run, "doc_id long, learn boolean, key long, classes binary")
+def walked(batches: DataFrame, hot: dict[bytes, tuple[int, int]], classes: int, smooth: float) -> DataFrame:
+    """attached() batches -> a row each: its documents' classes (of end, words and end, a byte each), and of each document the sum of
+    its words' log10(count + smooth) and its known words."""
+    shared = batches.sparkSession.sparkContext.broadcast(hot)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in coded_batches(found):
+            n, cls = known(b, shared.value)
+            rest = np.flatnonzero(cls < 0)
+            cls[rest] = classes + 1 + shapes_of(b, rest)
+            flat, _ = b.flat(cls, classes, learn=False)
+            size = len(b.sizes)
+            logs = np.bincount(b.doc, weights=np.log10(n + smooth)[b.index], minlength=size)
+            has = np.bincount(b.doc, weights=(n > 0)[b.index], minlength=size).astype(np.int64)
+            row = (b.row["ids"], b.row["absent"], b.row["learn"], b.row["sizes"], flat.astype(np.uint8).tobytes(), logs.tobytes(), packed(has))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=[x.split()[0] for x in WALKED.split(", ")])
+
+    return batches.mapInArrow(run, WALKED)
 
 
 def class_pairs(rows: DataFrame, size: int) -> np.ndarray:
-    """How often each class follows each in rows(classes)."""
+    """How often each class follows each in the documents of WALKED that are learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size**2, np.int64)
         for b in batches:
-            for x in b.column("classes").to_pylist():
-                c = np.frombuffer(x, np.uint8).astype(np.int64)
-                code, n = np.unique(c[:-1] * size + c[1:], return_counts=True)
-                total[code] += n
+            for learn, sizes, classes in zip(*(b.column(c).to_pylist() for c in ("learn", "sizes", "classes")), strict=True):
+                sizes = unpacked(sizes) + 2
+                learn = np.unpackbits(np.frombuffer(learn, np.uint8), count=len(sizes)).astype(bool)
+                c = np.frombuffer(classes, np.uint8)[np.repeat(learn, sizes)].astype(np.int64)
+                x, y = followed(c, np.append(0, np.cumsum(sizes[learn])))
+                total += np.bincount(x * size + y, minlength=size**2)
         at = np.flatnonzero(total)
         yield from record_batches({"code": (at, pa.int64()), "n": (total[at], pa.int64())})
 
-    return gathered(rows.select("classes").mapInArrow(run, "code long, n long"), size)
+    return gathered(rows.select("learn", "sizes", "classes").mapInArrow(run, "code long, n long"), size)
 
 
 def score(docs: DataFrame, learn: Column, rules: Rules = Rules()) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; learns from rows where learn holds.
 
     base_score is the smoothed unigram sum of the contract. Null and empty texts are an end alone; null ids pass through; repeated
-    rows are each scored (and each count where they are learned from). If nothing is learned from, all words are unknown.
+    rows, and rows that share an id, are each scored by their own text (and each count where they are learned from). Of words of
+    equal counts the greater bytes come first. A very long text is a batch of its own. If nothing is learned from, all words are
+    unknown; an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     batch_limits(spark)
-    buckets = max(64, partitions(spark))
-    marked = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    floor, smooth = rules.floor, rules.smooth
-    found = dealt(marked, buckets).repartition(buckets, "bucket").mapInArrow(lambda b: summed(b, floor, smooth), SUMMED)
-    found = staged(found, "word-sums")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    smooth = rules.smooth
+    texts = staged(coded(marked, rules.batch), "coded-texts")
+    counts = staged(word_counts(texts), "word-counts")
     release(spark)
-    top = found.where("kind = 'word'").orderBy(F.desc("n"), F.desc("word")).limit(rules.frequent).select("word", "hash", "shape", "n").collect()
-    frequent = [bytes(r.word) for r in top]
-    shapes = {r["shape"]: (r.n, r.v) for r in found.where("kind = 'shape'").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    pairs = pair_counts(marked.where("learn"), frequent)
-    words, classes = len(frequent), min(rules.classes, max(1, len(frequent)))
-    cls = exchange(pairs, words, classes, rules.sweeps)
-    ends = pairs[words].sum()
-
-    own = np.array([r["hash"] for r in top], np.int64)
-    order = np.argsort(own)
-    known, moves = (own[order], cls[:words][order].astype(np.int32)), [np.array([(r["shape"], c, r.n, 1) for r, c in zip(top, cls[:words], strict=True)], np.int64).reshape(-1, 4)]
-    if len(top) == rules.frequent:
-        least = F.lit(top[-1].n)
-        rest = found.where("kind = 'word'").where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") < F.lit(top[-1].word))))
+    by_shape = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    top = counts.orderBy(F.desc("n"), F.desc("word")).limit(max(rules.hot, rules.frequent)).collect()
+    pairs = pair_counts(texts, [bytes(r.word) for r in top[: rules.frequent]])
+    words = min(len(top), rules.frequent)
+    classes = min(rules.classes, max(1, words))
+    cls = exchange(pairs, words, classes, rules.sweeps)[:words].tolist()
+    ends = int(pairs[words].sum())
+
+    # Hot words have counts above a least one, so that tables can tell them by their counts.
+    least = top[-1].n if len(top) == max(rules.hot, rules.frequent) else 0
+    hot = {bytes(r.word): (r.n, cls[i] if i < words else -1) for i, r in enumerate(top) if r.n > least or i < words}
+    moves = [(r["shape"], c, r.n, 1) for r, c in zip(top, cls, strict=False)]
+    found: list[DataFrame] = []
+
+    def vocabulary() -> DataFrame:
+        if not found:
+            return counts.select("word", "n", F.lit(None).cast("int").alias("class"))
+        old = found[0].select("word", "class")
+        for x in found[1:]:
+            old = old.unionByName(x.select("word", "class"))
+        return counts.select("word", "n").join(old, "word", "left")
+
+    if len(top) > words:
+        edge = top[words - 1]
+        rest = counts.where((F.col("n") >= rules.floor) & ((F.col("n") < edge.n) | ((F.col("n") == edge.n) & (F.col("word") < F.lit(edge.word)))))
         by_count = [(r.n, r["count"]) for r in rest.groupBy("n").count().orderBy(F.desc("n")).collect()]
         for low, high in windows(by_count, words, rules.growth):
-            *known, moved = joined(marked.where("learn"), tuple(known), rest.where(F.col("n").between(low, high)), classes)
-            moves.append(moved)
+            found.append(joined(attached(texts, vocabulary(), hot), hot, low, high, classes))
+            moves += [tuple(r) for r in found[-1].groupBy("shape", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()]
+            for r in found[-1].where(F.col("n") > least).collect():
+                if bytes(r.word) in hot:
+                    hot[bytes(r.word)] = (r.n, r["class"])
 
     total = classes + 1 + SHAPES
-    walked = staged(class_rows(marked, tuple(known), classes), "class-rows")
-    grid = class_pairs(walked.where("learn"), total)
+    rows = staged(walked(attached(texts, vocabulary(), hot), hot, classes, smooth), "class-rows")
+    dropped(texts)
+    grid = class_pairs(rows, total)
     uni = (grid.sum(axis=0) + smooth) / (grid.sum() + smooth * total)
     step = np.log10((grid + smooth * total * uni) / (grid.sum(axis=1, keepdims=True) + smooth * total))
     # Tokens and kinds of each class; words of the vocabulary leave their shape's class.
     tokens, kinds = np.zeros(total), np.zeros(total)
-    for s, (n, v) in shapes.items():
-        tokens[classes + 1 + s] += n
-        kinds[classes + 1 + s] += v
-    for s, c, n, v in np.concatenate(moves).tolist():
+    for r in by_shape:
+        tokens[classes + 1 + r["shape"]] += r.n
+        kinds[classes + 1 + r["shape"]] += r.v
+    for s, c, n, v in moves:
         tokens[c] += n
         kinds[c] += v
         tokens[classes + 1 + s] -= n
@@ -510,21 +484,25 @@ def score(docs: DataFrame, learn: Column, rules: Rules = Rules()) -> DataFrame:
     within[classes] = 0.0  # the end is alone in its class
     within[:classes] = np.log10(np.maximum(tokens[:classes] + smooth * kinds[:classes], smooth))  # no unknown word is there
     step -= within[None, :]
-    n_all = int(sum(n for n, _ in shapes.values()) + ends)
-    v_all = int(sum(v for _, v in shapes.values()) + (ends > 0))
-    base = math.log10(n_all + 0.5 * (v_all + 1))
+    n_all = int(sum(r.n for r in by_shape) + ends)
+    v_all = int(sum(r.v for r in by_shape) + (ends > 0))
+    base, end_log, end_known = math.log10(n_all + 0.5 * (v_all + 1)), math.log10(ends + 0.5), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.frombuffer(x, np.uint8) for x in b.column("classes").to_pylist()]
-            walk = [float(step[c[:-1], c[1:]].sum()) for c in rows]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(c) - 1 for c in rows], pa.int64()), pa.array(walk, pa.float64()), b.column("key")], names=["doc_id", "n_tokens", "walk", "key"])
-
-    walks = walked.select("doc_id", "key", "classes").mapInArrow(run, "doc_id long, n_tokens long, walk double, key long")
-    sums = by_document(found).groupBy("key").agg(F.first("logs").alias("logs"), F.first("known").alias("known"))
-    out = walks.join(sums, "key", "left")
-    end_log = math.log10(ends + 0.5)
-    return out.select(
-        "doc_id", "n_tokens", (F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.coalesce("logs", F.lit(0.0)) + end_log - F.col("n_tokens") * base).alias("base_score"), (F.coalesce("logs", F.lit(0.0)) + F.col("walk")).alias("score"),
-    )
+            for r in b.to_pylist():
+                sizes = unpacked(r["sizes"])
+                if not len(sizes):
+                    continue
+                c = np.frombuffer(r["classes"], np.uint8).astype(np.int64)
+                starts = np.cumsum(sizes + 2) - (sizes + 2)
+                gain = np.append(step[c[:-1], c[1:]], 0.0)
+                gain[starts[1:] - 1] = 0.0  # from one document's end to the next's
+                walk = np.add.reduceat(gain, starts)
+                logs = np.frombuffer(r["logs"], np.float64) + end_log
+                absent = np.unpackbits(np.frombuffer(r["absent"], np.uint8), count=len(sizes)).astype(bool)
+                columns = {"doc_id": pa.array(np.frombuffer(r["ids"], np.int64), mask=absent), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(unpacked(r["known"]) + end_known)}
+                columns |= {"train_tokens": pa.array(np.full(len(sizes), n_all)), "base_score": pa.array(logs - (sizes + 1) * base), "score": pa.array(logs + walk)}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

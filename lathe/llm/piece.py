@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from lathe.llm.common import batch_limits, texts
 
 SPACE = "▁"
-#: A word is a run of blanks with what follows up to the next blank: merges cross no other place.
-WORD = re.compile(" *[^ ]+| +")
+#: A word is a run of blanks with what follows up to the next blank: merges cross no other place. A SPACE in a text is a blank too.
+WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NONE = np.int64(2**62)
 
 
@@ -67,7 +67,7 @@ class PieceModel:
         self.cache: dict[str, tuple[bytes, int, bytes]] = {}
 
     def words(self, text: str) -> list[str]:
-        return WORD.findall(" " + text) if text else []
+        return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def sign(self, c: str) -> int:
         """The symbol of a sign: its piece, or a number of its own from n on."""
@@ -78,7 +78,7 @@ class PieceModel:
 
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words after all merges, end to end, and the number of each symbol's word."""
-        flat = "".join(words).replace(" ", SPACE)
+        flat = "".join(words)
         table = {c: self.sign(c) for c in set(flat)}
         sym = np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import staged
+from lathe.llm.common import dropped, staged
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -25,10 +25,11 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         # small star: a and its smaller neighbours link to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
-        edges = staged(small.distinct(), "links")
-        # A fixed point has a star of each component: no root is itself a child.
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if now == total:
+        before, edges = edges, staged(small.distinct(), "links")
+        # A fixed point has a star of each component: no root is itself a child. Both are sets, so equal numbers and none new say equal.
+        now = edges.count()
+        if now == total and edges.join(before, ["a", "b"], "left_anti").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        dropped(before)
         total = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")

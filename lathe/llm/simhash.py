@@ -50,16 +50,16 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp long). One pass, no shuffle."""
+def fingerprints(docs: DataFrame, rules: SimHashRules = SimHashRules(), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(keys, text) -> (keys, fp long). One pass, no shuffle."""
     batch_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([simhash(x, rules.shingle, rules.seed) for x in texts(b.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in keys), pa.array(fp.view(np.int64))], names=[*keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*keys, "text").mapInArrow(run, "".join(f"{k} long, " for k in keys) + "fp long")
 
 
 def variants(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +155,8 @@ def links(fps: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
                 rest = np.uint64(fp & (2**64 - 1)) & ~mask
                 yield from record_batches({"mask": (mask.view(np.int64), pa.int64()), "rest": (rest.view(np.int64), pa.int64()), "fp": (np.full(len(mask), fp), pa.int64())})
 
-    keyed = fps.select("fp").mapInArrow(index, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
+    # The table of fingerprints is small, but each gives 64 rows: it is dealt over all tasks first.
+    keyed = fps.select("fp").repartition(n).mapInArrow(index, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
     found = staged(keyed.mapInArrow(group, "a long, b long, more boolean"), "simhash-groups")
     large = found.where("more").repartition(n).mapInArrow(deeper, "mask long, rest long, fp long")
     least = large.groupBy("mask", "rest").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -163,16 +164,21 @@ def links(fps: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
     return found.where("not more").select("a", "b").distinct().unionByName(star.where("a <> b").distinct()).distinct()
 
 
+def roots_of(nodes: DataFrame, rules: SimHashRules) -> DataFrame:
+    """nodes(fp, ...), a row for each fingerprint -> with root: the fingerprint that names its component."""
+    found = staged(components(links(nodes, rules)), "simhash-roots")
+    return nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fingerprint as 16 hex digits, component_id: the smallest doc_id that links reach).
 
     Null and empty texts have fingerprint zero and link like others. Equal fingerprints are one node of the link graph, so
-    copies make no pairs. Null ids keep their row; a component of null ids alone has component_id null. Repeated rows stay.
+    copies make no pairs. Null ids keep their row; a component of null ids alone has component_id null. Repeated rows, and rows that
+    share an id, each have a row of their own fingerprint. An empty table gives no rows; other columns are not read.
     """
     fps = staged(fingerprints(docs, rules), "simhash-fps")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = staged(components(links(nodes, rules)), "simhash-roots")
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = roots_of(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), rules)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("fp", "component_id")
     out = fps.join(named, "fp")
@@ -180,8 +186,16 @@ def near_duplicates(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> Da
 
 
 def keep_first(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
-    """docs with all its columns: of each component the row with the smallest doc_id (of several, one). Rows with a null doc_id
-    stay only where their component has no other."""
-    least = near_duplicates(docs, rules).groupBy(F.coalesce("component_id", F.lit(NULL_ID)).alias("__doc")).agg(F.lit(1).alias("__n")).select("__doc")
-    keyed = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    return keyed.join(least, "__doc", "left_semi").dropDuplicates(["__doc"]).select(*docs.columns)
+    """docs with all its columns: of each component one row, that with the smallest doc_id, and of several such the one whose text has
+    the smallest hash; of rows equal in both, any one. A row without doc_id stays only where its component has no other. Null and
+    empty texts are one component. Columns may have any names; an empty table stays empty."""
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = {"doc": F.col(f"c{names.index('doc_id')}").cast("long"), "row": F.xxhash64(f"c{names.index('text')}")}
+    inner = inner.withColumns(own)
+    fps = staged(fingerprints(inner.select("doc", "row", F.col(f"c{names.index('text')}").alias("text")), rules, ("doc", "row")), "simhash-fps")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first")
+    chosen = roots_of(fps.groupBy("fp").agg(first), rules).groupBy("root").agg(F.min("first").alias("first"))
+    chosen = chosen.select(F.coalesce("first.doc", F.lit(NULL_ID)).alias("doc"), F.col("first.row").alias("row"))
+    kept = inner.withColumn("doc", F.coalesce("doc", F.lit(NULL_ID))).join(chosen, ["doc", "row"], "left_semi")
+    return kept.dropDuplicates(["doc", "row"]).drop("doc", "row").toDF(*names)

@@ -19,17 +19,27 @@ from pyspark.sql import DataFrame
 from lathe.llm.common import batch_limits, rewritten, texts
 
 SYMBOLS = b"#*$%&|<>"
-#: Phrases of licence, cookie, copyright and site lines, in lower case.
+#: Phrases of licence, cookie, copyright and site lines, in lower case: fixed values, in English, French, German and Spanish.
 BOILERPLATE = (
     "licensed under", "all rights reserved", "copyright", "cookie", "privacy policy", "terms of service", "terms of use",
     "click here", "subscribe", "sign up", "log in", "read more", "enable javascript", "permission is hereby granted",
     "as is\" basis", "without warrant", "share this", "powered by",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "lire la suite", "cliquez ici",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "weiterlesen", "hier klicken",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "condiciones de uso", "seguir leyendo", "haga clic",
 )
+#: Bytes that continue a character in UTF-8.
+CONTINUED = bytes(range(0x80, 0xC0))
+
+
+def characters(x: bytes) -> int:
+    """Characters of x that are no white space."""
+    return len(x.translate(None, CONTINUED + b" \t\n\r\x0b\x0c"))
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """max_symbols: share of SYMBOLS in a line's word characters. min_segments, max_segment_words: a navigation line has so many
+    """max_symbols: share of SYMBOLS in a line's word characters; a line of ASCII signs alone fails too. min_segments, max_segment_words: a navigation line has so many
     parts between bars of so few words on average. max_stutter: share of a line's words that only say the word before them
     again. max_lost: share of word characters that removed lines may hold."""
 
@@ -44,14 +54,14 @@ class QualityRules:
 
     def line_fails(self, line: bytes) -> str:
         """The name of the first rule that the line breaks, or an empty text."""
-        chars = len(b"".join(line.split()))
+        chars = characters(line)
         if not chars:
             return ""
         bars = line.count(b"|") + line.count("»".encode()) + line.count("›".encode())
         if bars + 1 >= self.min_segments and len(line.split()) - bars <= self.max_segment_words * (bars + 1):
             return "navigation"
-        symbols = chars - len(line.translate(None, SYMBOLS + b" \t\n\r\x0b\x0c"))
-        if symbols > self.max_symbols * chars:
+        symbols = len(line) - len(line.translate(None, SYMBOLS))
+        if symbols > self.max_symbols * chars or (line.isascii() and not ALNUM.search(line)):
             return "punctuation"
         if BOILER.search(line.lower()):
             return "boilerplate"
@@ -61,6 +71,7 @@ class QualityRules:
         return ""
 
 
+ALNUM = re.compile(rb"[0-9A-Za-z]")
 BOILER = re.compile("|".join(re.escape(x) for x in BOILERPLATE).encode())
 
 
@@ -105,8 +116,8 @@ def judged(text: bytes, rules: QualityRules) -> tuple:
     failed = len(words) < rules.min_words or 100 * repeat > rules.max_repeat_percent * len(words)
     verdicts = {x: rules.line_fails(x) for x in set(full)}
     bad = [x for x in full if verdicts[x]]
-    lost = sum(len(b"".join(x.split())) for x in bad)
-    kept = not failed and lost <= rules.max_lost * max(1, len(stripped))
+    lost = sum(map(characters, bad))
+    kept = not failed and lost <= rules.max_lost * max(1, chars)
     clean = b"\n".join(x for x in lines if not verdicts.get(x)) if bad else text
     return len(words), chars, symbols, dup, repeat, failed, kept, Counter(verdicts[x] for x in bad), clean
 
@@ -114,8 +125,9 @@ def judged(text: bytes, rules: QualityRules) -> tuple:
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text: bool = True) -> DataFrame:
     """docs(doc_id, text) -> a row each: counts, base_failed, kept, lines removed by each rule and, with text, the cleaned text.
 
-    A null text has no words, so it fails a base rule; a null doc_id passes through. Repeated rows are each judged. An empty
-    table gives an empty result; other columns of docs are not read. One pass, no shuffle.
+    A null or empty text has no words, so it fails a base rule; a null doc_id passes through. Repeated rows, and rows that share an id,
+    are each judged by their own text; very long texts are judged whole. An empty table gives an empty result; other columns of docs are
+    not read. One pass, no shuffle.
     """
     batch_limits(docs.sparkSession)
     schema = (
@@ -140,7 +152,8 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text: b
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """docs with all its columns: rejected rows go, failing lines are taken out of the others."""
+    """docs with all its columns, whatever their names: rejected rows go, failing lines are taken out of the others, and n_chars follows.
+    Null and empty texts fail a base rule, so they go; each row is judged by its own text; an empty table stays empty."""
     batch_limits(docs.sparkSession)
 
     def decide(raw: list[bytes]) -> list[bytes | None]:

@@ -16,7 +16,7 @@ from lathe.llm.bytebpe import ByteBPE
 from lathe.llm.queries import op3_toxicity, op4_quality_rules, op5_packing, op6_fingerprints, op7_sentencepiece, op9_simhash, op10_lm_scoring, tokenizer
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "aaaa aaa", "\n\n x", "tab\tq", "é ü 日本語 🙂", "▁x ▁", "a▁b", "<s> </s> <unk>", "<|endoftext|> it's", "\x00a", "ﬁ ① Å", "\xa0x", "....... -----", "1²½ ٣", "x\x1cy"]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "aaaa aaa", "\n\n x", "tab\tq", "é ü 日本語 🙂", "▁x ▁", "a▁b", "▁ ia", "a ▁▁ b", " ▁", "▁", "<s> </s> <unk>", "<|endoftext|> it's", "\x00a", "ﬁ ① Å", "\xa0x", "....... -----", "1²½ ٣", "x\x1cy"]
 
 
 @pytest.fixture(scope="module")
@@ -110,6 +110,17 @@ def test_spelled_words_with_punctuation_are_restored(noisy):
     assert scorer.score(f"some {noisy} here")[2] == ["idiot"] and scorer.score(noisy)[2] == ["idiot"]
 
 
+def test_texts_are_restored(spark):
+    """Every noisy token is decoded, not only those that the lexicon knows."""
+    grams: Counter = Counter()
+    for w in ("people", "secret", "the", "this", "house", "message"):
+        toxicity.char_grams(w, 20.0, grams)
+    model = toxicity.ToxicityModel({"secret": 5.0}, dict(grams))
+    rows = [(1, "(th1s) s3cr3t me$$age,\n the h0u5e 2024 people"), (2, None), (3, "")]
+    out = toxicity.restored_texts(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert [r.restored for r in out] == ["(this) secret message,\n the house 2024 people", None, ""]
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = by_id(op3_toxicity(spark, sf).collect())
@@ -234,7 +245,23 @@ def test_fingerprints_are_homomorphic():
     whole = fingerprint.Fingerprint.of(parts)
     assert whole == fingerprint.Fingerprint.of(reversed(parts))
     assert whole - fingerprint.Fingerprint.of([b"two"]) == fingerprint.Fingerprint.of([b"one", b"two", b"three"])
-    assert whole.likeness(whole) == 1.0 and b"".join(fingerprint.paragraphs(LONG.encode())) == LONG.encode()
+    assert whole.likeness(whole) == 1.0
+    assert b" ".join(fingerprint.units(LONG.encode())[1:]) == LONG.encode()
+    a, b = "first line\nsecond, a longer line of more than eight words in all\n\nthird", "third\nfirst line\r\nsecond, a longer line of more than eight words in all\n"
+    of = lambda t: fingerprint.Fingerprint.of(fingerprint.paragraphs(t.encode()))
+    assert of(a) == of(b) and of("a\nb") == of("b\na") != of("a\nc")
+    assert of("one two three four five six seven eight nine ten") != of("ten one two three four five six seven eight nine")
+
+
+def test_fingerprints_of_a_table_take_changes(spark):
+    """Insertions and deletions by table give the fingerprints of the changed texts."""
+    of = lambda *t: fingerprint.Fingerprint.of(fingerprint.paragraphs("\n".join(t).encode())).hex()
+    long = "a paragraph with more than eight words that is cut in parts somewhere in between"
+    prints = spark.createDataFrame([(1, of("a", "b", "b")), (2, of(long)), (None, of("n")), (3, of("same"))], "doc_id long, fingerprint string")
+    changes = [(1, "b", -1), (1, "c\nd", 2), (2, long, -1), (2, "new", 1), (4, "only", 1), (None, "m", 1), (3, None, 1), (3, "", 5), (3, "x", None)]
+    out = fingerprint.insert_delete(prints, spark.createDataFrame(changes, "doc_id long, paragraph string, times int")).collect()
+    want = {1: of("a", "b", "c", "c", "d", "d"), 2: of("new"), None: of("n", "m"), 3: of("same"), 4: of("only")}
+    assert {r.doc_id: r.fingerprint for r in out} == want and len(out) == len(want)
 
 
 def test_many_equal_paragraphs_are_told_apart():
@@ -249,6 +276,9 @@ def test_fingerprint_edges(spark):
     rows = fingerprint.fingerprints(documents(spark)).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(d) for d, *_ in ROWS)
     assert fingerprint.fingerprints(empty(spark)).collect() == []
+    heavy = [(7, f"text {i}") for i in range(40)] + [(None, f"null {i}") for i in range(40)] + [(i, f"x{i}") for i in range(10)]
+    rows = fingerprint.fingerprints(spark.createDataFrame(heavy, "doc_id long, text string").repartition(3)).collect()
+    assert len(rows) == len(heavy) and sorted(r.fingerprint for r in rows) == sorted(fingerprint.Fingerprint.of(fingerprint.paragraphs(t.encode())).hex() for _, t in heavy)
     one = fingerprint.fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
 
@@ -366,6 +396,18 @@ def test_simhash_edges(spark):
     assert len(ids) == len(set(ids)) and {1, 7, 10, 12, 14} <= set(ids) and not {2, 8, 13, 15} & set(ids)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows that share an id, or have none, are kept and dropped by their own texts, and other columns come along."""
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(5, a, 1), (5, b, 2), (None, c, 3), (None, d, 4), (None, a, 5), (7, b, 6), (9, e, 7), (9, e, 8), (None, None, 9), (2, "", 10), (3, "  ", 11)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumnsRenamed({"fp": "row"})
+    kept = simhash.keep_first(frame).collect()
+    got = sorted(r.row for r in kept)
+    assert got in ([1, 2, 3, 4, 7, 10], [1, 2, 3, 4, 8, 10])
+
+
 # Language model
 
 

@@ -1,7 +1,8 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for what no rule decides.
 
-Everything is DataFrame expressions. Training grows each level of a tree from one aggregation of gradients by node, feature and
-bin; what comes back is bounded by nodes x features x bins. The trees are scored as nested conditions that Catalyst compiles.
+Everything is DataFrame expressions. Statistics of host suffixes are learned from the labelled urls, a row's own label left out while
+the trees learn. Training grows each level of a tree from one aggregation of gradients by node, feature and bin; what comes back is
+bounded by nodes x features x bins. The trees are scored as nested conditions that Catalyst compiles.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lathe.llm.common import staged
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -55,11 +58,10 @@ def lexical_features() -> dict[str, Column]:
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     digits = lambda c: F.length(F.regexp_replace(c, "[^0-9]", "")).cast("double")
     share = lambda a, n: a / F.greatest(F.lit(1.0), n)
-    # Entropy of the host's signs: counts of the signs that host names have.
-    signs = "abcdefghijklmnopqrstuvwxyz0123456789-."
     length = F.length(host).cast("double")
-    counts = [length - F.length(F.replace(host, F.lit(c), F.lit(""))) for c in signs]
-    entropy = reduce(lambda a, b: a + b, [F.when(n > 0, -(n / length) * F.log2(n / length)).otherwise(0.0) for n in counts])
+    chars = F.split(host, "")
+    part = lambda c: F.size(F.filter(chars, lambda x: x == c)) / length
+    entropy = F.when(length > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda total, c: total - part(c) * F.log2(part(c)))).otherwise(0.0)
     labels = F.size(F.split(host, r"\."))
     name = F.element_at(F.split(host, r"\."), -2)
     return {
@@ -77,8 +79,6 @@ def lexical_features() -> dict[str, Column]:
         "https": url.startswith("https").cast("double"),
         "fragment": url.contains("#").cast("double"),
         "suffix_length": F.length(F.regexp_extract(host, r"([^.]*)$", 1)).cast("double"),
-        "suffix_net": host.endswith(".net").cast("double"),
-        "suffix_org": host.endswith(".org").cast("double"),
         "name_length": F.coalesce(F.length(F.when(labels > 1, name)), F.lit(0)).cast("double"),
         "first_length": F.length(F.regexp_extract(path, r"^/([^/]*)", 1)).cast("double"),
         "last_number": F.coalesce(F.regexp_extract(path, r"/([0-9]+)[^/0-9]*/?$", 1).try_cast("double"), F.lit(-1.0)),
@@ -111,16 +111,58 @@ class Boosted:
         return 1 / (1 + F.exp(-self.logit()))
 
 
-def train(labelled: DataFrame, names: list[str], trees: int = 6, depth: int = 2, bins: int = 16, rate: float = 0.5, ridge: float = 1.0, sample: int = 100_000) -> Boosted:
-    """labelled(names..., y in 0, 1) -> trees. sample bounds the labelled rows: those first by hash of the features are taken.
+#: Endings of the host that statistics are learned of: its last label, and its last two.
+SUFFIXES = {"suffix": 1, "site": 2}
+
+
+def suffix(labels: int) -> Column:
+    return F.substring_index("host", ".", -labels)
+
+
+#: While the trees learn, a row's statistics come from the other folds of the labelled urls.
+FOLDS = 4
+
 
-    Cuts are quantiles of the sample. Each level is one query over the sample; its rows are at most 2 ** depth x features x bins.
+def fold() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(11)), F.lit(FOLDS)).cast("int")
+
+
+@dataclass
+class Suffixes:
+    """How many labelled urls, and blocked ones, each ending has in each fold: tables of bounded size. mean: the share of blocked ones in
+    all; weight: that it has in an ending's share."""
+
+    tables: dict[str, DataFrame]
+    mean: float
+    weight: float = 10.0
+
+    def rates(self, df: DataFrame, learning: bool = False) -> DataFrame:
+        """df(url, host) with the smoothed share of blocked urls for each kind of ending; learning: less the row's own fold."""
+        for kind, table in self.tables.items():
+            ending = table.select(F.col(kind).alias("__e"), F.col("n").alias("__n"), F.col("y").alias("__y"))
+            df = df.join(F.broadcast(ending), suffix(SUFFIXES[kind]) == F.col("__e"), "left")
+            total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+            n, y = (F.coalesce(total(c) - (F.element_at(c, fold() + 1) if learning else F.lit(0.0)), F.lit(0.0)) for c in ("__n", "__y"))
+            df = df.withColumn(f"{kind}_rate", (y + self.weight * self.mean) / (n + self.weight)).drop("__e", "__n", "__y")
+        return df
+
+
+def learn_suffixes(labelled: DataFrame, mean: float, most: int = 1000) -> Suffixes:
+    """labelled(url, host, y). Of more endings than most, those with most urls are known; others have the mean."""
+    tables = {}
+    for kind, labels in SUFFIXES.items():
+        by_fold = lambda c: F.array(*[F.sum(F.when(fold() == k, c).otherwise(0.0)) for k in range(FOLDS)])
+        counts = labelled.groupBy(suffix(labels).alias(kind)).agg(by_fold(F.lit(1.0)).alias("n"), by_fold(F.col("y")).alias("y"), F.count(F.lit(1)).alias("all"))
+        tables[kind] = staged(counts.orderBy(F.desc("all"), kind).limit(most), "url-endings")
+    return Suffixes(tables, mean)
+
+
+def train(labelled: DataFrame, names: list[str], trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0) -> Boosted:
+    """labelled(names..., y in 0, 1), of a bounded number of rows -> trees.
+
+    Cuts are quantiles. Each level is one query; its rows are at most 2 ** depth x features x bins.
     """
-    rows = labelled.select(*names, F.col("y").cast("double").alias("y"))
-    n = rows.count()
-    if n > sample:
-        rows = rows.orderBy(F.xxhash64(*names), "y").limit(sample)
-    rows = rows.persist()
+    rows = labelled.select(*names, F.col("y").cast("double").alias("y")).persist()
     try:
         total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), *[F.percentile_approx(c, [i / bins for i in range(1, bins)], 1000).alias(c) for c in names]).first()
         if not total.n:
@@ -134,17 +176,13 @@ def train(labelled: DataFrame, names: list[str], trees: int = 6, depth: int = 2,
         for _ in range(trees):
             p = model.probability()
             root = Node()
-            leaves = [root]
             for _ in range(depth):
-                marks = leaf_numbers(root)
                 stats = binned.select(
-                    marks.alias("leaf"), (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"),
+                    leaf_numbers(root).alias("leaf"), (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"),
                     F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col("bin_" + c).alias("b")) for i, c in enumerate(names)])).alias("x"),
                 ).groupBy("leaf", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-                grown = grow(root, stats, names, cuts, rate, ridge)
-                if not grown:
+                if not grow(root, stats, names, cuts, rate, ridge):
                     break
-                leaves = grown
             model.trees.append(root)
             if root.low is None and abs(root.value) < 1e-9:
                 break
@@ -199,26 +237,41 @@ def grow(root: Node, stats: list, names: list[str], cuts: dict[str, list], rate:
     return split
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """pages(page_id, url) -> page_id, host, path, rule, verdict, score (probability of block).
+def sampled(labelled: DataFrame, sample: int, *keys: str) -> DataFrame:
+    """About sample rows of labelled at most, those with the lowest hashes of keys: a filter, so no task gathers them."""
+    n = labelled.count()
+    return labelled if n <= sample else labelled.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None, threshold: float = 0.5, sample: int = 100_000, folds: int = 5) -> DataFrame:
+    """pages(page_id, url) -> page_id, host, path, rule, verdict, score (probability of block), held_out.
 
     The rule's verdict holds where one fits; else the trees'. labelled(url, y: 1 for block) trains them; without it the urls that
-    a rule decides are the labelled ones. Null urls, and those without ://, have an empty host and path, fit no rule, and are
-    scored by the same trees. Repeated rows are each judged; an empty table trains nothing and gives no rows. No shuffle but
-    in training.
+    a rule decides are the labelled ones. One in folds urls, by hash, is held out of training, so that scores of those tell how well
+    the trees do. sample bounds the labelled rows that are learned from (about so many are taken by the hash of url and page_id);
+    statistics of suffixes come from the same rows.
+
+    Null and empty urls, and those without ://, have an empty host and path, fit no rule, and are scored by the same trees; a null
+    url is not held out. Repeated rows are each judged, equal urls alike. Very long urls are judged whole. An empty table trains nothing
+    and gives no rows; other columns are not read. No shuffle but in training.
     """
     features = lexical_features()
     rule, verdict = matched(rules)
-    parts = with_parts(pages.select("page_id", "url")).withColumns({"rule": rule, "ruled": verdict})
+    held_out = F.coalesce(F.pmod(F.xxhash64("url", F.lit(7)), F.lit(folds)) == 0, F.lit(False)) & F.col("url").isNotNull()
+    parts = with_parts(pages.select("page_id", "url")).withColumns({"rule": rule, "ruled": verdict, "held_out": held_out})
     if labelled is None:
         known = parts.where("ruled is not null").withColumn("y", (F.col("ruled") == "block").cast("double"))
     else:
-        known = with_parts(labelled.select("url", F.col("y").cast("double").alias("y")))
-    model = train(known.select("y", *[c.alias(n) for n, c in features.items()]), list(features))
+        known = with_parts(labelled.select("url", F.col("y").cast("double").alias("y"), F.lit(None).cast("long").alias("page_id"))).withColumn("held_out", held_out)
+    known = staged(sampled(known.where(~F.col("held_out")).select("url", "page_id", "host", "path", "y"), sample, "url", "page_id"), "labelled-urls")
+    mean = known.agg(F.avg("y")).first()[0]
+    endings = learn_suffixes(known, 0.5 if mean is None else mean)
+    names = [*features, *[f"{k}_rate" for k in SUFFIXES]]
+    model = train(endings.rates(known, learning=True).select("y", *[c.alias(n) for n, c in features.items()], *names[len(features) :]), names)
     used = {n for t in model.trees for n in names_in(t)}
-    scored = parts.withColumns({n: c for n, c in features.items() if n in used}).withColumn("score", model.probability())
+    scored = endings.rates(parts).withColumns({n: c for n, c in features.items() if n in used}).withColumn("score", model.probability())
     by_model = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score", "held_out")
 
 
 def names_in(node: Node) -> set[str]:

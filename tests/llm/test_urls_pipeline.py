@@ -38,6 +38,25 @@ def test_url_query(spark, small):
     check(op2_url_filters(spark, small).collect(), pages)
 
 
+def test_trees_agree_with_held_out_labels(spark):
+    """Labelled urls that the trees did not learn from."""
+    rows = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("held_out and rule is not null").collect()
+    right = sum((r.score >= 0.5) == (r.verdict == "block") for r in rows)
+    assert len(rows) > 100 and right > 0.85 * len(rows)
+
+
+def test_suffix_statistics_are_learned(spark):
+    """Hosts are told apart by their endings, whatever these are; of a sample too."""
+    kinds = ["alpha", "beta", "gamma", "delta"]
+    rows = [(f"https://h{i * 7919 % 997}.x{i % 13}.{kinds[i % 4]}/p/{i}", int(i % 4 in (1, 2))) for i in range(2000)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labelled = spark.createDataFrame(rows, "url string, y int")
+    for sample in (100_000, 700):
+        out = urls.judge(pages, (urls.Rule("nowhere", "", True),), labelled, sample=sample).collect()
+        held = [r for r in out if r.held_out]
+        assert 300 < len(held) < 500 and all((r.verdict == "block") == bool(rows[r.page_id][1]) for r in held)
+
+
 def test_url_edges(spark):
     pages = {1: None, 2: "no scheme", 3: "HTTP://EXAMPLE.COM/en/7", 4: "a://b://c/d?x#y", 5: "x://", 6: "http://Com/en/", 7: "http://example.net/de/81", 8: "http://xcom/en/", 9: "http://h?/en", None: "http://a.org/es/é\nq", 10: ""}
     check(urls.judge(spark.createDataFrame(list(pages.items()), "page_id long, url string")).collect(), pages)

@@ -18,7 +18,7 @@ ALIASES = {"s": "second", "sec": "second", "m": "minute", "min": "minute", "h":
 FORMATS = (
     "%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M:%S.%f%z",
     "%Y-%m-%d %H:%M:%S%z", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y/%m/%d", "%d-%b-%Y", "%d %b %Y",
-    "%d %B %Y", "%b %d, %Y", "%B %d, %Y", "%a, %d %b %Y %H:%M:%S %Z", "%a, %d %b %Y %H:%M:%S %z", "%Y%m%dT%H%M%S", "%Y%m%d%H%M%S", "%Y%m%d",
+    "%d %B %Y", "%b %d, %Y", "%B %d, %Y", "%a, %d %b %Y %H:%M:%S %Z", "%a, %d %b %Y %H:%M:%S %z", "%Y%m%dT%H%M%S", "%Y%m%d%H%M%S", "%Y%m%d", "%Y-%m",
 )
 TERM = re.compile(r"\s*([+\-|]?)\s*(\d+(?:\.\d+)?)?\s*([a-zA-Z]+)\s*")
 

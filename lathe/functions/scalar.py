@@ -361,9 +361,41 @@ class Compiler:
         if where is not None:
             col = F.filter(col, lambda x: F.coalesce(within(x).condition(where), F.lit(False)))
         if q.get("sort"):
-            key = q["sort"][0] if isinstance(q["sort"], list) else q["sort"]
-            col = F.array_sort(F.transform(col, lambda x: F.struct(within(x)(key).col.alias("k"), x.alias("v"))))
-            col = F.transform(col, lambda x: x["v"])
+            keys = []
+            for s in q["sort"] if isinstance(q["sort"], list) else [q["sort"]]:
+                way: Any = 1
+                if isinstance(s, dict) and "value" in s:
+                    s, way = s["value"], s.get("sort", 1)
+                elif isinstance(s, dict) and len(s) == 1 and next(iter(s.values())) in (1, -1, "asc", "desc"):
+                    s, way = next(iter(s.items()))
+                keys.append((s, way in (-1, "desc")))
+            col = F.transform(col, lambda x: F.struct(*[within(x)(k).col.alias(f"k{i}") for i, (k, _) in enumerate(keys)], x.alias("v")))
+
+            def compare(a: Column, b: Column) -> Column:
+                """By each key in turn; missing ones come last."""
+                out = F.lit(0)
+                for i, (_, down) in reversed(list(enumerate(keys))):
+                    x, y = a[f"k{i}"], b[f"k{i}"]
+                    less, more = (1, -1) if down else (-1, 1)
+                    out = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), 1).when(y.isNull(), -1).when(x < y, less).when(x > y, more).otherwise(out)
+                return out
+
+            col = F.transform(F.array_sort(col, compare), lambda x: x["v"])
+        if q.get("groupby") is not None:
+            by = q["groupby"][0] if isinstance(q["groupby"], list) else q["groupby"]
+            name, key = (by.get("name") or by["value"], by["value"]) if isinstance(by, dict) and "value" in by else (str(by), by)
+            lowered: list[Lowered] = []
+
+            def key_of(x: Column) -> Column:
+                lowered.append(within(x)(key))
+                return lowered[-1].col
+
+            kinds = F.array_distinct(F.transform(col, key_of))
+            members = col
+            out = F.transform(kinds, lambda k: F.struct(k.alias(name), F.filter(members, lambda x: within(x)(key).col.eqNullSafe(k)).alias("group")))
+            kind = SPARK_TYPES.get(lowered[0].kind) or lowered[0].dtype or T.StringType()
+            element = T.StructType([T.StructField(name, kind), T.StructField("group", T.ArrayType(element))])
+            return Lowered(F.when(F.size(col) > 0, out), "array", T.ArrayType(element))
         if q.get("limit") is not None:
             col = F.slice(col, 1, int(q["limit"]))
         select = q.get("select")
@@ -386,6 +418,7 @@ class Compiler:
 SPARK_TYPES = {"text": T.StringType(), "integer": T.LongType(), "boolean": T.BooleanType(), "number": T.DoubleType(), "time": T.DoubleType(), "interval": T.DoubleType()}
 OPERATORS: dict[str, Callable[[Compiler, Any, dict], Lowered]] = {}
 MODIFIERS = ("default", "nulls", "separator", "start", "comment", "name")
+# Other names of operators.
 ALIASES = {
     "ge": "gte", "le": "lte", "neq": "ne", "term": "eq", "terms": "in", "equal": "eq", "minus": "sub", "subtract": "sub", "divide": "div",
     "mult": "mul", "multiply": "mul", "instr": "find", "postfix": "suffix", "regexp": "regex", "to_text": "text", "match_all": "true",
@@ -921,6 +954,27 @@ def _filter(c: Compiler, p: Any, m: dict) -> Lowered:
     return c.nested({"from": p[0], "where": p[1]})
 
 
+@operator("group")
+def _group(c: Compiler, p: Any, m: dict) -> Lowered:
+    """[list, key]: the list's members by key, each key with its group."""
+    return c.nested({"from": p[0], "groupby": p[1]})
+
+
+def encoding(name: str, form: Callable[[Column], Column], kind: str = "text") -> None:
+    """A text's bytes (UTF-8) in another form, or back."""
+    OPERATORS[name] = lambda c, p, m: Lowered(form(text(c(p))), kind)
+
+
+encoding("base64", lambda x: F.base64(x.cast("binary")))
+encoding("unbase64", lambda x: F.unbase64(x).cast("string"))
+encoding("hex", lambda x: F.lower(F.hex(x.cast("binary"))))
+encoding("unhex", lambda x: F.unhex(x).cast("string"))
+encoding("md5", lambda x: F.md5(x.cast("binary")))
+encoding("sha1", lambda x: F.sha1(x.cast("binary")))
+encoding("sha256", lambda x: F.sha2(x.cast("binary"), 256))
+encoding("crc32", lambda x: F.crc32(x.cast("binary")), "integer")
+
+
 @operator("select")
 def _select(c: Compiler, p: Any, m: dict) -> Lowered:
     if isinstance(p, list) and p and isinstance(p[0], dict) and "name" in p[0]:

@@ -92,12 +92,15 @@ def _plain(name: str, x: Lowered | None, spec: dict, order: Column | None) -> Co
             F.median(n).alias("median"), F.sum(n.cast("double") * n).alias("sos"), F.var_pop(n).alias("var"), F.avg(n).alias("avg"),
         )
     if name == "union":
-        found = F.array_sort(F.collect_set(v if x.kind != "array" else F.explode(v)))
-        return found
+        if x.kind == "array":
+            return F.array_sort(F.array_distinct(F.flatten(F.collect_set(v))))
+        return F.array_sort(F.collect_set(v))
     if name == "count_values":
         return counted(F.array_sort(F.collect_list(v)))
     if name == "list":
-        rows = F.struct((order if order is not None else F.monotonically_increasing_id()).alias("k"), v.alias("v"))
+        if order is None:
+            return F.collect_list(v)
+        rows = F.when(x.exists, F.struct(order.alias("k"), v.alias("v")))
         return F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["v"])
     if name in ("first", "last"):
         if order is None:
@@ -110,6 +113,8 @@ def _plain(name: str, x: Lowered | None, spec: dict, order: Column | None) -> Co
 
 
 def counted(values: Column) -> Column:
-    """A map of the distinct members of a sorted list and how often each occurs."""
-    kinds = F.array_distinct(values)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(values, lambda v: v == k)).cast("long")))
+    """A map of the distinct members of a sorted list and how often each occurs, from the places where a new one begins."""
+    n = F.size(values)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: (i == 1) | (F.element_at(values, i) != F.element_at(values, F.greatest(i - 1, F.lit(1)))))
+    return F.map_from_arrays(F.transform(first, lambda i: F.element_at(values, i)), F.transform(first, lambda i, k: (F.coalesce(F.get(first, k + 1), n + 1) - i).cast("long")))

@@ -98,6 +98,8 @@ def make_edge(spec: Any, compile_: Compiler, df: DataFrame, limit: int) -> Edge:
     many = v.kind == "array"
     flat = df.select(F.explode_outer(v.col).alias("v")) if many else df
     parts, null = top_parts(flat, Lowered(F.col("v"), "text") if many else v, n)
+    if kind in ("value", "uid", "unit") and len(parts) == MAX_PARTS and null and flat.select((F.col("v") if many else v.col).alias("v")).where("v is not null").distinct().count() > MAX_PARTS:
+        raise ExpressionError(f"edge {name!r} has more than {MAX_PARTS} parts")
     if v.parts:
         keys = [tuple(p) for p in parts]
         case = None

@@ -7,11 +7,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lathe.functions.scalar import Compiler
+from lathe.functions.scalar import Compiler, ExpressionError
+from lathe.plans.folders import cut
 from lathe.plans.schema import Scope
 
 
+#: The most cells that cubes without a shared edge may be multiplied to.
+MAX_CELLS = 1_000_000
+
+
 def index(df: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of each key as a list."""
     rest = [c for c in df.columns if c not in keys]
@@ -49,26 +55,35 @@ def chunk(df: DataFrame, size: int, order: list[str]) -> DataFrame:
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Each row's 0-based place in order. The rows are sorted by range over all tasks, and each task's rows numbered from the count
-    of those before it; only a count for each task goes to the driver."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__in", F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33))
-    counts = {r["__part"]: r.n for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Each row's 0-based place in order (names, or columns with a direction). The rows are sorted by range over all tasks."""
+    return with_rownum(df.orderBy(*order), name)
+
+
+def with_rownum(df: DataFrame, name: str = "rownum") -> DataFrame:
+    """Each row's 0-based place as df's rows come. df is computed once and kept; its tasks' rows are numbered from the counts of those
+    before; only a count for each task goes to the driver."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    kept = cut(df.withColumns({"__part": F.spark_partition_id(), "__in": inside}))
+    counts = {r["__part"]: r.n for r in kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
     for p in range(max(counts, default=-1) + 1):
         starts.append(total)
         total += counts.get(p, 0)
     base = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts] or [F.lit(0).cast("long")]), F.col("__part") + 1)
-    return ranged.withColumn(name, base + F.col("__in")).drop("__part", "__id", "__in")
+    return kept.withColumn(name, base + F.col("__in")).drop("__part", "__in")
 
 
-def zipped(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
-    """Rows of both by place; the shorter side is null beyond its end."""
-    return with_position(a, order_a, "__n").join(with_position(b, order_b, "__n"), "__n", "full").drop("__n")
+def zipped(a: DataFrame, b: DataFrame, order_a: list[str] = (), order_b: list[str] = ()) -> DataFrame:
+    """Rows of both by place, in order or as they come; the shorter side is null beyond its end."""
+    placed = lambda df, order: with_position(df, order, "__n") if order else with_rownum(df, "__n")
+    return placed(a, order_a).join(placed(b, order_b), "__n", "full").drop("__n")
 
 
-def reverse(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.orderBy(*[F.col(c).desc_nulls_first() for c in order])
+def reverse(df: DataFrame, order: list[str] = ()) -> DataFrame:
+    """The rows of df, by order or as they come, last first."""
+    if order:
+        return df.orderBy(*[F.col(c).desc_nulls_first() for c in order])
+    return with_rownum(df, "__n").orderBy(F.desc("__n")).drop("__n")
 
 
 # Multisets
@@ -85,11 +100,25 @@ def multiset_add(a: DataFrame, b: DataFrame, columns: list[str], sign: int = 1)
 
 
 def group_by_population(df: DataFrame, value: str, least: int, most: int) -> DataFrame:
-    """Values in order in groups of least to most rows: value, count, group. The counts of values are taken in order in one task
-    (they are one row for each distinct value)."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("group", F.floor(F.coalesce(F.sum("count").over(w), F.lit(0)) / F.lit(max(least, most))))
+    """Values in order, put in groups of at least `least` rows and fewer than `most`: value, count, group. A group takes the next value
+    while it is below least, or stays below most with it. An error is raised where that cannot be kept. Each group depends on the one
+    before, so the values' counts (one row for each distinct value) stream through one task, which holds one group."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("count")).coalesce(1).sortWithinPartitions(value)
+
+    def run(frames):
+        group = total = 0
+        for f in frames:
+            numbers = []
+            for c in f["count"].tolist():
+                if total and total >= least and total + c >= most:
+                    group, total = group + 1, 0
+                total += c
+                if total >= most:
+                    raise ValueError(f"groups of {least} to {most} rows: one would have {total}")
+                numbers.append(group)
+            yield f.assign(group=numbers)
+
+    return counts.mapInPandas(run, T.StructType([*counts.schema.fields, T.StructField("group", T.LongType())]))
 
 
 # Keyed set algebra
@@ -127,6 +156,8 @@ class Cube:
         shared = [e for e in self.edges if e in other.edges]
         b = other.df.select(*[F.col(e).alias(f"__{e}") for e in shared], *[e for e in other.edges if e not in shared], F.col(other.measure).alias("__m"))
         test = reduce(lambda x, y: x & y, [F.col(e).eqNullSafe(F.col(f"__{e}")) for e in shared], F.lit(True))
+        if not shared and (cells := self.df.count() * b.count()) > MAX_CELLS:
+            raise ExpressionError(f"cubes without a shared edge would have {cells} cells; the most is {MAX_CELLS}")
         out = self.df.join(b, test, "left" if shared else "cross")
         edges = [*self.edges, *[e for e in other.edges if e not in shared]]
         return Cube(out.select(*edges, f(F.col(self.measure), F.col("__m")).alias(self.measure)), edges, self.measure)
@@ -160,6 +191,10 @@ class Cube:
         edges = [e for e in self.edges if e not in parts]
         return Cube(df.select(*edges, self.measure), edges, self.measure)
 
+    def forall(self, f: Callable[[dict[str, Column]], Column]) -> Cube:
+        """The measure computed anew for each cell, from its coordinates and measure by name."""
+        return Cube(self.df.withColumn(self.measure, f({c: F.col(c) for c in [*self.edges, self.measure]})), self.edges, self.measure)
+
     def filter(self, where) -> Cube:
         return Cube(filter_rows(self.df, where), self.edges, self.measure)
 

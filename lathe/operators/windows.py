@@ -34,6 +34,14 @@ def with_windows(engine, plan, specs: Any):
             col = F.lead(x.col, k).over(ordered) if k >= 0 else F.lag(x.col, -k).over(ordered)
             return Lowered(col, x.kind, x.dtype)
 
+        if not keys and not w.get("range") and w.get("aggregate", "none") == "none" and w.get("value") == "rownum":
+            # Places in the whole table come from counts of its parts, not from one task.
+            from lathe.operators.lists import with_rownum
+
+            plan.df = with_rownum(df.orderBy(*order) if order else df, w["name"])
+            if w["name"] not in plan.selects:
+                plan.selects = [*plan.selects, w["name"]]
+            continue
         scope.aliases = {"rownum": (rownum.cast("long"), T.LongType())}
         c = engine.compiler(scope, rows=neighbour)
         x = c(w["value"]) if "value" in w else None

@@ -104,7 +104,7 @@ class Engine:
                 rows.append((t, join_path(steps), of_column(F.lit(None), kind).kind, kind.simpleString()))
         if name == "meta.tables":
             return self.spark.createDataFrame([(t,) for t in self.tables], "name string")
-        return self.spark.createDataFrame(rows, "table string, name string, jx_type string, es_type string")
+        return self.spark.createDataFrame(rows, "table string, name string, kind string, type string")
 
     def source(self, frum: Any) -> tuple[DataFrame, Scope]:
         from lathe.sources.store import from_rows
@@ -257,9 +257,11 @@ class Engine:
             return Plan(df, df.columns, whole=False)
         items, bare = self.selects(q, scope, "." if isinstance(scope, NestedScope) or scope.prefix else "*")
         c = self.compiler(scope)
-        rownum = any(_mentions(s.value, "rownum") for s in items)
-        if rownum:
-            scope.aliases = scope.aliases | {"rownum": (F.monotonically_increasing_id(), T.LongType())}
+        if any(_mentions(s.value, "rownum") for s in items) and scope.find("rownum") is None:
+            from lathe.operators.lists import with_rownum
+
+            df = with_rownum(df, "__rownum")
+            scope.aliases = scope.aliases | {"rownum": (F.col("__rownum"), T.LongType())}
         if bare and items and items[0].value == "." and isinstance(scope, NestedScope) and isinstance(scope.element, T.StructType):
             item = F.col(quoted(scope.item))
             return Plan(df.select(*[item[n].alias(n) for n in scope.element.names]), scope.element.names)
@@ -274,18 +276,26 @@ class Engine:
     def _shown(x: Lowered, s: Select) -> Column:
         return F.coalesce(x.col, F.lit(s.spec["default"])) if s.spec.get("default") is not None else x.col
 
+    @staticmethod
+    def ordered(q: dict, df: DataFrame) -> DataFrame:
+        """df with the order of its rows, if an aggregate follows it."""
+        s = q.get("select")
+        wants = any(isinstance(x, dict) and x.get("aggregate") in ("list", "first", "last") for x in (s if isinstance(s, list) else [s]))
+        return df.withColumn("__seq", F.monotonically_increasing_id()) if wants else df
+
     def measures(self, items: list[Select], c: Compiler) -> list[Column]:
         out = []
         for s in items:
             if s.aggregate == "none" and s.value is not None and s.value != ".":
                 raise ExpressionError(f"select {s.name!r} of a grouped query needs an aggregate")
             x = None if s.value in (None, ".") else c(s.value)
-            out.append(aggregate("count" if s.aggregate == "none" else s.aggregate, x, s.spec).alias(s.name))
+            order = F.col("__seq") if s.aggregate in ("list", "first", "last") else None
+            out.append(aggregate("count" if s.aggregate == "none" else s.aggregate, x, s.spec, order).alias(s.name))
         return out
 
     def total(self, q: dict, df: DataFrame, scope: Scope) -> Plan:
         items, bare = self.selects(q, scope, None)
-        out = df.agg(*self.measures(items, self.compiler(scope)))
+        out = self.ordered(q, df).agg(*self.measures(items, self.compiler(scope)))
         return Plan(out, [s.name for s in items], kind="value", whole=bare and len(items) == 1)
 
     def grouped(self, q: dict, df: DataFrame, scope: Scope) -> Plan:
@@ -306,7 +316,7 @@ class Engine:
         items, _ = self.selects(q, scope, {"name": "count", "aggregate": "count"})
         names = {n for n, _ in keys}
         items = [s for s in items if not (s.aggregate == "none" and s.name in names)]
-        out = df.groupBy(*[x.col.alias(n) for n, x in lowered]).agg(*self.measures(items, c))
+        out = self.ordered(q, df).groupBy(*[x.col.alias(n) for n, x in lowered]).agg(*self.measures(items, c))
         return Plan(out, [s.name for s in items], groups=[n for n, _ in keys], kind="group")
 
     def dense(self, q: dict, df: DataFrame, scope: Scope, limit: int | None) -> Plan:
@@ -320,7 +330,7 @@ class Engine:
         cells = reduce(lambda a, e: a * (len(e.parts) + 1), edges, 1)
         if cells > MAX_CELLS:
             raise ExpressionError(f"a dense result of {cells} cells; the most is {MAX_CELLS}")
-        marked = df
+        marked = self.ordered(q, df)
         for e in edges:
             marked = marked.withColumn(f"__{e.name}", F.explode_outer(e.index) if e.many else e.index)
             if not e.allow_nulls:

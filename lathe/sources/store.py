@@ -315,3 +315,46 @@ def archive_lines(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"path": [name] * len(lines), "member": [member] * len(lines), "number": pa.array(range(len(lines)), pa.int64()), "line": pa.array(lines, pa.string())})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, number long, line string")
+
+
+def extract_tree(tables: dict[str, DataFrame], relations: list[tuple[str, str, str, str]], root: str, ids: DataFrame) -> dict[str, DataFrame]:
+    """The rows of all tables that belong to the rows of root whose keys are in ids, whose columns name the keys.
+
+    relations: (table, column, referred table, its column). Down from root, rows that refer to rows already taken are taken with them;
+    of all taken, the rows that they refer to are taken too, to any depth. Each relation is followed once in each way, by semi joins.
+    """
+    keys = ids.columns
+    taken = {root: tables[root].join(ids.distinct(), keys, "left_semi")}
+    down = [root]
+    while down:
+        at = down.pop(0)
+        for table, column, target, key in relations:
+            if target == at and table not in taken:
+                taken[table] = tables[table].join(taken[at].select(F.col(key).alias(column)), column, "left_semi")
+                down.append(table)
+    up, done = list(taken), set()
+    while up:
+        at = up.pop(0)
+        for i, (table, column, target, key) in enumerate(relations):
+            if table == at and i not in done and target not in taken:
+                done.add(i)
+                wanted = [taken[t].select(F.col(c).alias(key)) for t, c, x, k in relations if x == target and k == key and t in taken]
+                both = wanted[0]
+                for more in wanted[1:]:
+                    both = both.unionByName(more)
+                taken[target] = tables[target].join(both, key, "left_semi")
+                up.append(target)
+    return taken
+
+
+def merge_shards(shards: list[DataFrame], keys: list[str] | None = None, version: str | None = None) -> DataFrame:
+    """Shards of one table, whose schemas may differ, as one; with keys and version only the latest row of each key."""
+    out = shards[0]
+    for s in shards[1:]:
+        out = insert(out, s)
+    return condense(out, keys, version) if keys and version else out
+
+
+def expire(df: DataFrame, time: str, now: float, keep: float) -> DataFrame:
+    """Rows whose time (seconds since 1970) is not older than keep seconds before now; rows without a time go."""
+    return df.where(F.col(time) >= F.lit(now - keep))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lathe.functions.scalar import Compiler, Lowered
-from lathe.operators.lists import with_position
+from lathe.operators.lists import reverse, with_rownum
 from lathe.plans.formats import plain
 from lathe.plans.schema import Scope
 
@@ -82,9 +82,9 @@ def stream(values: Any, spark: SparkSession | None = None) -> Stream:
 
 
 class Stream:
-    """Rows of columns; a single column `value` is a bare value. order: what places go by, where places matter."""
+    """Rows of columns; a single column `value` is a bare value. order: (column, descending) of a sort that the rows still have."""
 
-    def __init__(self, df: DataFrame, order: list[str] | None = None):
+    def __init__(self, df: DataFrame, order: list[tuple[str, bool]] | None = None):
         self.df, self.order = df, order
 
     def _low(self, e: Any) -> Lowered:
@@ -97,8 +97,8 @@ class Stream:
             scope.aliases = {".": (F.col("value"), self.df.schema["value"].dataType)}
         return Compiler(scope)(e)
 
-    def _new(self, df: DataFrame, order: list[str] | None = None) -> Stream:
-        return Stream(df, order if order is not None else [c for c in self.order or () if c in df.columns])
+    def _new(self, df: DataFrame, order: list[tuple[str, bool]] | None = None) -> Stream:
+        return Stream(df, order)
 
     def __getattr__(self, name: str) -> Stream:
         if name.startswith("_"):
@@ -122,13 +122,14 @@ class Stream:
 
     def filter(self, e: Any) -> Stream:
         x = e if isinstance(e, Column) else Compiler(Scope(self.df.schema, aliases={".": (F.col("value"), self.df.schema["value"].dataType)} if self.df.columns == ["value"] else None)).condition(e._e if isinstance(e, It) else e)
-        return self._new(self.df.where(x))
+        return self._new(self.df.where(x), self.order)
 
     def attach(self, **named: Any) -> Stream:
         return self._new(self.df.withColumns({k: self._low(v).col for k, v in named.items()}))
 
     def enumerate(self, name: str = "index") -> Stream:
-        return self._new(with_position(self.df, self.order or self.df.columns, name))
+        """Each row's place as the rows come."""
+        return self._new(with_rownum(self.df, name), self.order)
 
     def exists(self) -> Stream:
         return self._new(self.df.where(F.greatest(*[F.col(c).isNotNull().cast("int") for c in self.df.columns]) == 1 if len(self.df.columns) > 1 else F.col(self.df.columns[0]).isNotNull()))
@@ -142,13 +143,17 @@ class Stream:
 
     def sort(self, *keys: str, reverse: bool = False) -> Stream:
         names = list(keys) or self.df.columns
-        return self._new(self.df.orderBy(*[F.col(k).desc_nulls_last() if reverse else F.col(k).asc_nulls_last() for k in names]), names)
+        return self._new(self.df.orderBy(*[F.col(k).desc_nulls_last() if reverse else F.col(k).asc_nulls_last() for k in names]), [(k, reverse) for k in names])
 
     def reverse(self) -> Stream:
-        return self._new(self.df.orderBy(*[F.col(k).desc_nulls_last() for k in self.order or self.df.columns]))
+        """The rows last first: by the sort turned round, or by their places. Of a sorted stream, equal rows may come in any order."""
+        if self.order:
+            turned = [F.col(k).asc_nulls_first() if down else F.col(k).desc_nulls_first() for k, down in self.order]
+            return Stream(self.df.orderBy(*turned))
+        return self._new(reverse(self.df))
 
     def limit(self, n: int) -> Stream:
-        return self._new(self.df.limit(n))
+        return self._new(self.df.limit(n), self.order)
 
     def append(self, row: Any) -> Stream:
         return self.extend([row])
@@ -162,7 +167,7 @@ class Stream:
     def zip(self, other: Stream) -> Stream:
         from lathe.operators.lists import zipped
 
-        return self._new(zipped(self.df, other.df, self.order or self.df.columns, other.order or other.df.columns))
+        return self._new(zipped(self.df, other.df))
 
     def group(self, by: Any) -> Stream:
         """(group, rows) for each value of by."""

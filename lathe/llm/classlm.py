@@ -49,27 +49,32 @@ class Rules:
     classes: int = 48
     sweeps: int = 8
     smooth: float = 0.5
-    hot: int = 1 << 15
-    batch: int = 1 << 23
+    hot: int = 1 << 17
+    batch: int = 1 << 22
 
 
 def packed(x: np.ndarray) -> bytes:
-    """x, of numbers from 0 up, in the narrowest type, which a first sign names."""
+    """x, of numbers from 0 up, in the narrowest type, which a first sign names; first all lowest bytes, then all next ones, so that
+    high bytes, which are mostly zero, compress."""
     top = int(x.max()) if len(x) else 0
-    kind = "B" if top < 1 << 8 else "H" if top < 1 << 16 else "I"
-    return kind.encode() + x.astype(np.dtype(kind)).tobytes()
+    kind = "B" if top < 1 << 8 else "H" if top < 1 << 16 else "I" if top < 1 << 32 else "Q"
+    x = x.astype(np.dtype(kind).newbyteorder("<"))
+    return kind.encode() + x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.dtype(x[:1].decode()), offset=1).astype(np.int64)
+    kind = np.dtype(x[:1].decode()).newbyteorder("<")
+    planes = np.frombuffer(x, np.uint8, offset=1).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
 
 
-CODED = "batch long, ids binary, absent binary, learn binary, sizes binary, words binary, index binary"
+CODED = "batch long, ids binary, absent binary, learn binary, sizes binary, words binary, shapes binary, index binary"
 
 
 def coded(docs: DataFrame, limit: int) -> DataFrame:
     """docs(doc_id, text, learn) -> a row for each batch: its documents' ids, which are null and which are learned from, their numbers
-    of words, the batch's different words, and the number of each word in order. A text over limit bytes is a batch of its own."""
+    of words, the batch's different words, these words' shapes, and the number of each word in order. A text over limit bytes is a
+    batch of its own."""
     names = [x.split()[0] for x in CODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +90,7 @@ def coded(docs: DataFrame, limit: int) -> DataFrame:
                 ids = cut.column("doc_id")
                 absent = np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes()
                 learn = np.packbits(cut.column("learn").to_numpy(zero_copy_only=False)).tobytes()
-                row = (part + number, pc.fill_null(ids.cast(pa.int64()), 0).to_numpy().tobytes(), absent, learn, packed(np.diff(offsets)), b" ".join(words), packed(index))
+                row = (part + number, pc.fill_null(ids.cast(pa.int64()), 0).to_numpy().tobytes(), absent, learn, packed(np.diff(offsets)), b" ".join(words), bytes(map(shape, words)), packed(index))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(row)], names=names)
 
@@ -93,13 +98,27 @@ def coded(docs: DataFrame, limit: int) -> DataFrame:
 
 
 class Batch:
-    """A row of CODED: words, index and sizes; learn: by document; doc: the document of each token."""
-
-    def __init__(self, row: dict):
-        self.row, self.words = row, row["words"].split(b" ") if row["words"] else []
-        self.index, self.sizes = unpacked(row["index"]), unpacked(row["sizes"])
-        self.learn = np.unpackbits(np.frombuffer(row["learn"], np.uint8), count=len(self.sizes)).astype(bool)
+    """A row of CODED: words, shapes, index and sizes; learn: by document; doc: the document of each token. Where joined: n, how often
+    each word was learned from, and found, (place, class) of words that are not hot."""
+
+    def __init__(self, b: pa.RecordBatch, i: int):
+        get = lambda c: b.column(c)[i].as_py()
+        self.raw = get
+        self.words = get("words").split(b" ") if get("words") else []
+        self.shapes = np.frombuffer(get("shapes"), np.uint8).astype(np.int64)
+        self.index, self.sizes = unpacked(get("index")), unpacked(get("sizes"))
+        self.learn = np.unpackbits(np.frombuffer(get("learn"), np.uint8), count=len(self.sizes)).astype(bool)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        names = b.schema.names
+        self.n = unpacked(get("n")) if "n" in names else None
+        self.found = structs(b.column("found")[i]) if "found" in names else None
+
+    def classes(self, hot: dict[bytes, tuple[int, int]]) -> np.ndarray:
+        """The class of each word; -1: none yet."""
+        cls = np.fromiter((hot[w][1] if w in hot else -1 for w in self.words), np.int64, len(self.words))
+        if self.found is not None:
+            cls[self.found[0]] = self.found[1]
+        return cls
 
     def flat(self, numbers: np.ndarray, end: int, learn: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Of each text (learn: of those learned from) the end, its words' numbers and the end, in one row; and where each begins."""
@@ -111,10 +130,15 @@ class Batch:
         return out, np.append(0, np.cumsum(sizes + 2))
 
 
+def structs(x: pa.ListScalar) -> tuple[np.ndarray, ...] | None:
+    """The fields of a list of structs, a row each."""
+    return None if x.values is None else tuple(x.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(x.values.type.num_fields))
+
+
 def coded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
     for b in batches:
         for i in range(b.num_rows):
-            yield Batch(b.slice(i, 1).to_pylist()[0])
+            yield Batch(b, i)
 
 
 def word_counts(batches: DataFrame) -> DataFrame:
@@ -134,34 +158,41 @@ def word_counts(batches: DataFrame) -> DataFrame:
     return counts.mapInArrow(shaped, "word binary, n long, shape int")
 
 
-def attached(batches: DataFrame, vocabulary: DataFrame, hot: dict[bytes, tuple[int, int]]) -> DataFrame:
-    """CODED with found: for the batch's words that are not hot, in order, (place, n, class) from vocabulary(word, n, class)."""
+def attached(batches: DataFrame, vocabulary: DataFrame, value: str, hot: dict[bytes, tuple[int, int]]) -> DataFrame:
+    """CODED with found: of the batch's words that are not hot, (place, value) from vocabulary(word, value), where it has them."""
     shared = batches.sparkSession.sparkContext.broadcast(hot)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
-        for b in coded_batches(found):
-            at = [i for i, w in enumerate(b.words) if w not in hot]
-            yield from record_batches({"batch": (np.full(len(at), b.row["batch"]), pa.int64()), "place": (at, pa.int32()), "word": ([b.words[i] for i in at], pa.binary())})
+        for b in found:
+            for batch, words in zip(b.column("batch").to_pylist(), b.column("words").to_pylist(), strict=True):
+                words = words.split(b" ") if words else []
+                at = [i for i, w in enumerate(words) if w not in hot]
+                yield from record_batches({"batch": (np.full(len(at), batch), pa.int64()), "place": (at, pa.int32()), "word": ([words[i] for i in at], pa.binary())})
 
-    rare = batches.mapInArrow(run, "batch long, place int, word binary").join(vocabulary, "word")
-    rare = rare.groupBy("batch").agg(F.collect_list(F.struct("place", "n", "class")).alias("found"))
+    rare = batches.select("batch", "words").mapInArrow(run, "batch long, place int, word binary").join(vocabulary.select("word", value), "word")
+    rare = rare.groupBy("batch").agg(F.collect_list(F.struct("place", value)).alias("found"))
     return batches.join(rare, "batch", "left")
 
 
-def known(b: Batch, hot: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Count and class (-1: none yet) of each of the batch's words."""
-    n, cls = np.zeros(len(b.words), np.int64), np.full(len(b.words), -1, np.int64)
-    rows = [(i, *hot[w]) for i, w in enumerate(b.words) if w in hot]
-    rows += [(x["place"], x["n"], -1 if x["class"] is None else x["class"]) for x in b.row["found"] or ()]
-    if rows:
-        at, count, c = np.array(rows, np.int64).T
-        n[at], cls[at] = count, c
-    return n, cls
+def counted(batches: DataFrame, counts: DataFrame, hot: dict[bytes, tuple[int, int]]) -> DataFrame:
+    """CODED with n: how often each of the batch's words was learned from."""
+    shared = batches.sparkSession.sparkContext.broadcast(hot)
+    joined, names = attached(batches, counts, "n", hot), batches.columns
 
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for b in found:
+            out = []
+            for i, words in enumerate(b.column("words").to_pylist()):
+                words = words.split(b" ") if words else []
+                n = np.fromiter((hot[w][0] if w in hot else 0 for w in words), np.int64, len(words))
+                if (rare := structs(b.column("found")[i])) is not None:
+                    n[rare[0]] = rare[1]
+                out.append(packed(n))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "n"])
 
-def shapes_of(b: Batch, at: np.ndarray) -> np.ndarray:
-    return np.fromiter((shape(b.words[i]) for i in at.tolist()), np.int64, len(at))
+    return joined.mapInArrow(run, f"{CODED}, n binary")
 
 
 def followed(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +220,7 @@ def pair_counts(batches: DataFrame, frequent: list[bytes]) -> np.ndarray:
         for b in coded_batches(found):
             own = np.fromiter((number.get(w, -1) for w in b.words), np.int64, len(b.words))
             rest = np.flatnonzero(own < 0)
-            own[rest] = end + 1 + shapes_of(b, rest)
+            own[rest] = end + 1 + b.shapes[rest]
             x, y = followed(*b.flat(own, end))
             code, n = np.unique(x * size + y, return_counts=True)
             total[code] += n
@@ -234,7 +265,7 @@ AROUND = "word binary, codes binary, times binary, code long, n long"
 
 
 def joined(batches: DataFrame, hot: dict[bytes, tuple[int, int]], low: int, high: int, classes: int) -> DataFrame:
-    """attached() batches -> (word, n, shape, class) of the words without a class whose count is from low to high: each joins the class
+    """Batches -> (word, n, shape, class) of the words without a class whose count is from low to high: each joins the class
     that its neighbours' classes make likeliest. A task holds one word's counts at a time."""
     spark = batches.sparkSession
     total = classes + 1 + SHAPES
@@ -245,10 +276,9 @@ def joined(batches: DataFrame, hot: dict[bytes, tuple[int, int]], low: int, high
     def around(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = np.zeros(total**2, np.int64)
         for b in coded_batches(found):
-            n, cls = known(b, shared.value)
-            new = (cls < 0) & (n >= low) & (n <= high)
-            rest = np.flatnonzero(cls < 0)
-            cls[rest] = classes + 1 + shapes_of(b, rest)
+            cls = b.classes(shared.value)
+            new = (cls < 0) & (b.n >= low) & (b.n <= high)
+            cls = np.where(cls < 0, classes + 1 + b.shapes, cls)
             # Numbers from total on are new words, whose class is still that of their shape.
             x, y = followed(*b.flat(np.where(new, total + np.arange(len(new)), cls), classes))
             class_of = np.append(np.arange(total), cls)
@@ -379,20 +409,19 @@ WALKED = "ids binary, absent binary, learn binary, sizes binary, classes binary,
 
 
 def walked(batches: DataFrame, hot: dict[bytes, tuple[int, int]], classes: int, smooth: float) -> DataFrame:
-    """attached() batches -> a row each: its documents' classes (of end, words and end, a byte each), and of each document the sum of
+    """Batches -> a row each: its documents' classes (of end, words and end, a byte each), and of each document the sum of
     its words' log10(count + smooth) and its known words."""
     shared = batches.sparkSession.sparkContext.broadcast(hot)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in coded_batches(found):
-            n, cls = known(b, shared.value)
-            rest = np.flatnonzero(cls < 0)
-            cls[rest] = classes + 1 + shapes_of(b, rest)
+            n, cls = b.n, b.classes(shared.value)
+            cls = np.where(cls < 0, classes + 1 + b.shapes, cls)
             flat, _ = b.flat(cls, classes, learn=False)
             size = len(b.sizes)
             logs = np.bincount(b.doc, weights=np.log10(n + smooth)[b.index], minlength=size)
             has = np.bincount(b.doc, weights=(n > 0)[b.index], minlength=size).astype(np.int64)
-            row = (b.row["ids"], b.row["absent"], b.row["learn"], b.row["sizes"], flat.astype(np.uint8).tobytes(), logs.tobytes(), packed(has))
+            row = (b.raw("ids"), b.raw("absent"), b.raw("learn"), b.raw("sizes"), flat.astype(np.uint8).tobytes(), logs.tobytes(), packed(has))
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=[x.split()[0] for x in WALKED.split(", ")])
 
     return batches.mapInArrow(run, WALKED)
@@ -443,29 +472,35 @@ def score(docs: DataFrame, learn: Column, rules: Rules = Rules()) -> DataFrame:
     least = top[-1].n if len(top) == max(rules.hot, rules.frequent) else 0
     hot = {bytes(r.word): (r.n, cls[i] if i < words else -1) for i, r in enumerate(top) if r.n > least or i < words}
     moves = [(r["shape"], c, r.n, 1) for r, c in zip(top, cls, strict=False)]
+    coded_rows, texts = texts, staged(counted(texts, counts, hot), "counted-texts")
+    dropped(coded_rows)
+    release(spark)
     found: list[DataFrame] = []
 
-    def vocabulary() -> DataFrame:
-        if not found:
-            return counts.select("word", "n", F.lit(None).cast("int").alias("class"))
-        old = found[0].select("word", "class")
+    def with_classes(least_known: int) -> DataFrame:
+        """The batches with the classes of words that are not hot, if words that rare have classes."""
+        if not found or least_known > least:
+            return texts
+        every = found[0].select("word", "class")
         for x in found[1:]:
-            old = old.unionByName(x.select("word", "class"))
-        return counts.select("word", "n").join(old, "word", "left")
+            every = every.unionByName(x.select("word", "class"))
+        return attached(texts, every, "class", hot)
 
+    last = top[words - 1].n if words else 0
     if len(top) > words:
         edge = top[words - 1]
         rest = counts.where((F.col("n") >= rules.floor) & ((F.col("n") < edge.n) | ((F.col("n") == edge.n) & (F.col("word") < F.lit(edge.word)))))
         by_count = [(r.n, r["count"]) for r in rest.groupBy("n").count().orderBy(F.desc("n")).collect()]
         for low, high in windows(by_count, words, rules.growth):
-            found.append(joined(attached(texts, vocabulary(), hot), hot, low, high, classes))
+            found.append(joined(with_classes(last), hot, low, high, classes))
             moves += [tuple(r) for r in found[-1].groupBy("shape", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()]
             for r in found[-1].where(F.col("n") > least).collect():
                 if bytes(r.word) in hot:
                     hot[bytes(r.word)] = (r.n, r["class"])
+            last = low
 
     total = classes + 1 + SHAPES
-    rows = staged(walked(attached(texts, vocabulary(), hot), hot, classes, smooth), "class-rows")
+    rows = staged(walked(with_classes(last), hot, classes, smooth), "class-rows")
     dropped(texts)
     grid = class_pairs(rows, total)
     uni = (grid.sum(axis=0) + smooth) / (grid.sum() + smooth * total)

@@ -85,6 +85,8 @@ def texts(column: pa.Array) -> list[bytes]:
 def split_words(column: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different words of all texts, the number of each word in order, and where each text's words begin, and the end. Words are
     apart by ASCII white space; lower: with A-Z lower-cased. Null texts have none."""
+    if column.offset:  # the kernels below misread slices
+        column = column.take(pa.array(np.arange(len(column))))
     text = pc.fill_null(column.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     flat, offsets = lists.flatten(), lists.offsets.to_numpy()

@@ -161,3 +161,19 @@ def test_queries_against_brute_force(spark, small, query, words, size):
     rows = query(spark, small).collect()
     assert len(rows) == len(docs)
     assert all((r.n_removed, r.kept_sha256) == want[r.doc_id] for r in rows)
+
+
+def test_words_of_slices():
+    """Words of any part of a column are those of its texts."""
+    import pyarrow as pa
+
+    from lathe.llm.common import split_words
+
+    rng = random.Random(4)
+    texts = [rng.choice([None, "", " \t", "É A\x85b\xa0 c"]) if rng.random() < 0.2 else " ".join(f"W{rng.randrange(50)}" for _ in range(rng.randrange(30))) + "\n" * rng.randrange(2) for _ in range(400)]
+    column = pa.array(texts)
+    for _ in range(100):
+        at, n = rng.randrange(399), rng.randrange(1, 40)
+        words, index, offsets = split_words(column.slice(at, n), lower=True)
+        want = [(t or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split() for t in texts[at : at + n]]
+        assert [[words[i] for i in index[a:b]] for a, b in zip(offsets[:-1], offsets[1:])] == want

@@ -484,3 +484,15 @@ def test_a_word_joins_the_likeliest_class():
         col[cls[w]] -= pairs[w, w]
         got = classlm.inserted(np.concatenate((row, col, [pairs[w, w]]))[None], np.array([cls[w]]), square(cls), classes)[0]
         assert got == max(range(classes), key=lambda k: like(square(np.where(np.arange(n) == w, k, cls))))
+
+
+def test_small_batches_and_joined_words_score_alike(spark, small, docs):
+    """Counts and classes that come by joins, over many batches, are those that all tasks are sent; tokens are counted whole."""
+    from pyspark.sql import functions as F
+
+    frame = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [by_id(classlm.score(frame, F.col("doc_id") % 3 > 0, classlm.Rules(frequent=40, growth=3, hot=hot, batch=batch)).collect()) for hot, batch in ((1 << 17, 1 << 22), (60, 1 << 13))]
+    for d, t in docs.items():
+        a, b = rows[0][d], rows[1][d]
+        assert a.n_tokens == b.n_tokens == len(t.encode().split()) + 1 and a.n_known == b.n_known
+        assert abs(a.score - b.score) < 1e-6 * abs(a.score) and abs(a.base_score - b.base_score) < 1e-6 * abs(a.base_score)

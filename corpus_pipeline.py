@@ -1,7 +1,8 @@
 """A training-corpus pipeline: quality rules, toxicity, near-duplicates, repeated passages, packing.
 
 Each stage works on all that the stage before kept. The first four return the columns of documents; the last returns packed
-pieces.
+pieces. Rows are judged each by its own text, also where doc_ids repeat or are null; other columns may have any names; empty tables
+stay empty.
 """
 
 from __future__ import annotations
@@ -18,27 +19,29 @@ from lathe.llm.queries import tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; failing lines leave the others."""
+    """Rejected documents go, null and empty texts among them; failing lines leave the others."""
     return quality.keep_good(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. The model learns from labelled documents of this stage's input that are not held out."""
+    """Documents that score as toxic go. The model learns from labelled documents of this stage's input that are not held out; null
+    labels and texts teach nothing."""
     model = toxicity.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model, threshold=0.7)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the smallest doc_id, one without a doc_id only where the group has no other."""
     return simhash.keep_first(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 words that an earlier document has leave the text."""
+    """Passages of 20 words that an earlier document, or an earlier place of the same one, has leave the text; null texts stay null."""
     return substring.keep_first_passages(docs, size=20)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in sequences of at most 2,048; a null or empty text is its end alone."""
     return packing.pack(docs, Path(tokenizer("byte_bpe_50k.json")).read_bytes(), window=2048, end=1)
 
 

@@ -31,8 +31,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the smallest doc_id, one without a doc_id only where the group has no other."""
-    return simhash.keep_first(docs)
+    """One document of each group of near-duplicates (five-word shingles, a similarity of 0.8 or more) stays: the smallest doc_id, one
+    without a doc_id only where the group has no other."""
+    return simhash.keep_first_like(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def test_pipeline_against_brute_force(spark, small):
     from lathe.llm.common import crc_mod
     from lathe.llm import toxicity
     from pyspark.sql import functions as F
-    from test_texts import check_packed, joined, simhash_of
+    from test_texts import check_packed, like_groups
     from tokenizers import Tokenizer
 
     from lathe.llm.queries import tokenizer
@@ -94,7 +94,7 @@ def test_pipeline_against_brute_force(spark, small):
     docs = {d: t for d, t in docs.items() if scorer.score(t.decode())[0] < 0.7}
     staged = toxicity.keep_clean(staged, model, threshold=0.7)
     assert texts_of(staged) == docs
-    least = joined([(d, simhash_of(t.decode())) for d, t in docs.items()])
+    least = like_groups(docs)
     docs = {d: t for d, t in docs.items() if least[d] == d}
     staged = corpus_pipeline.near_duplicate_stage(spark, staged, small)
     assert texts_of(staged) == docs

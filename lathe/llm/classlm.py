@@ -7,14 +7,17 @@ probability is the product, over its words and an end, of the class's probabilit
 probability in its class.
 
 The documents are tokenized once, into batches of bounded size with a dictionary each; all later phases work on the numbers. What a
-phase needs to know of words (counts, classes) is joined to the batches' dictionaries: the most frequent words, of a bounded number,
-are sent along, the others meet in a join by word. So no task or driver holds the vocabulary, and a row's results come from its own
-batch, never by a key made from its text.
+phase needs to know of words (counts, classes) it learns by parts: each batch sends the words of each part, by hash, in one row; a task
+takes a part, of a bounded number of words, from all batches, and answers each in one row. The answers come before their batch, in
+order, so that a task holds one batch or one part at a time, however many there are. No task or driver holds the vocabulary, and a
+row's results come from its own batch, never by a key made from its text.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,18 +33,24 @@ from lathe.llm.common import batch_limits, dropped, partitions, record_batches,
 #: Classes of words by shape: three marks and a length in 8 steps.
 SHAPES = 64
 
+#: For each byte: 4 a digit, 2 neither letter nor digit of ASCII, 1 beyond ASCII.
+MARKS = np.array([4 * (48 <= c < 58) + 2 * (not bytes([c]).isalnum()) + (c > 127) for c in range(256)], np.uint8)
 
-def shape(word: bytes) -> int:
-    """digits, other signs than letters, any beyond ASCII; and the length."""
-    kind = 4 * any(48 <= c < 58 for c in word) + 2 * (not word.isalnum()) + (not word.isascii())
-    return 8 * kind + min(7, len(word) // 2)
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """Of each word (large_binary, from its first on, none empty): digits, other signs than letters, any beyond ASCII; and the length."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+    kind = np.bitwise_or.reduceat(MARKS[np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]]], offsets[:-1])
+    return 8 * kind.astype(np.int64) + np.minimum(7, np.diff(offsets) // 2)
 
 
 @dataclass(frozen=True)
 class Rules:
     """frequent: words that are exchanged; floor: the least count of a word that joins their classes; growth: how many times the
-    words before it a window of joining words holds; classes: their number; sweeps: of the exchange; smooth: added counts; hot: the
-    most words whose counts and classes are sent to all tasks, others are joined; batch: bytes of text in a batch."""
+    words before it a window of joining words holds; classes: their number; sweeps: of the exchange; smooth: added counts; hot: how
+    many words of batches meet in a part, on the average, or fewer; batch: bytes of text in a batch."""
 
     frequent: int = 1000
     floor: int = 2
@@ -49,7 +58,7 @@ class Rules:
     classes: int = 48
     sweeps: int = 8
     smooth: float = 0.5
-    hot: int = 1 << 17
+    hot: int = 1 << 19
     batch: int = 1 << 22
 
 
@@ -62,137 +71,228 @@ def packed(x: np.ndarray) -> bytes:
     return kind.encode() + x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def unpacked(x: bytes) -> np.ndarray:
+def narrow(x: bytes) -> np.ndarray:
+    """What was packed, in its narrow type."""
     kind = np.dtype(x[:1].decode()).newbyteorder("<")
     planes = np.frombuffer(x, np.uint8, offset=1).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return narrow(x).astype(np.int64)
+
+
+def chained(rows: list[bytes]) -> np.ndarray:
+    """All that was packed in rows, one after the other."""
+    return np.concatenate([np.empty(0, np.uint8), *map(narrow, rows)])
+
 
+#: Batches in a file of a staged table. Readers and writers hold a file's batches at once.
+FILE = 8
 
-CODED = "batch long, ids binary, absent binary, learn binary, sizes binary, words binary, shapes binary, index binary"
+CODED = "batch long, kinds int, ids binary, absent binary, learn binary, sizes binary, words binary, index binary"
+
+
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def one_row(schema: str, row: tuple) -> pa.RecordBatch:
+    """row, of numbers and bytes, as a batch."""
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([x], types[f.split()[1]]) for x, f in zip(row, schema.split(", "), strict=True)], names=names_of(schema))
 
 
 def coded(docs: DataFrame, limit: int) -> DataFrame:
     """docs(doc_id, text, learn) -> a row for each batch: its documents' ids, which are null and which are learned from, their numbers
-    of words, the batch's different words, these words' shapes, and the number of each word in order. A text over limit bytes is a
-    batch of its own."""
-    names = [x.split()[0] for x in CODED.split(", ")]
+    of words, the batch's different words, and the number of each word in order. A text over limit bytes is a batch of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId() << 33, 0
+        held: list[pa.RecordBatch] = []
+        room = limit
+
+        def out() -> pa.RecordBatch:
+            nonlocal number, room
+            text, ids, learn = (pa.concat_arrays([x.column(c) for x in held]) for c in ("text", "doc_id", "learn"))
+            held.clear()
+            words, index, offsets = split_words(text, lower=True)
+            absent = np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes()
+            learn = np.packbits(learn.to_numpy(zero_copy_only=False)).tobytes()
+            number, room = number + 1, limit
+            return one_row(CODED, (part + number, len(words), pc.fill_null(ids.cast(pa.int64()), 0).to_numpy().tobytes(), absent, learn, packed(np.diff(offsets)), b" ".join(words), packed(index)))
+
         for b in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.append(0, np.cumsum(size + 16))  # empty texts take room, too
             at = 0
             while at < b.num_rows:
-                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
-                cut = b.slice(at, end - at)
+                end = int(np.searchsorted(size, size[at] + room, side="right")) - 1
+                if end <= at and held:
+                    yield out()
+                    continue
+                end = max(end, at + 1)
+                held.append(b.slice(at, end - at))
+                room -= int(size[end] - size[at])
                 at = end
-                words, index, offsets = split_words(cut.column("text"), lower=True)
-                ids = cut.column("doc_id")
-                absent = np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes()
-                learn = np.packbits(cut.column("learn").to_numpy(zero_copy_only=False)).tobytes()
-                row = (part + number, pc.fill_null(ids.cast(pa.int64()), 0).to_numpy().tobytes(), absent, learn, packed(np.diff(offsets)), b" ".join(words), bytes(map(shape, words)), packed(index))
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(row)], names=names)
+                if room <= 0:
+                    yield out()
+        if held:
+            yield out()
 
     return docs.select("doc_id", "text", "learn").mapInArrow(run, CODED)
 
 
-class Batch:
-    """A row of CODED: words, shapes, index and sizes; learn: by document; doc: the document of each token. Where joined: n, how often
-    each word was learned from, and found, (place, class) of words that are not hot."""
-
-    def __init__(self, b: pa.RecordBatch, i: int):
-        get = lambda c: b.column(c)[i].as_py()
-        self.raw = get
-        self.words = get("words").split(b" ") if get("words") else []
-        self.shapes = np.frombuffer(get("shapes"), np.uint8).astype(np.int64)
-        self.index, self.sizes = unpacked(get("index")), unpacked(get("sizes"))
-        self.learn = np.unpackbits(np.frombuffer(get("learn"), np.uint8), count=len(self.sizes)).astype(bool)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        names = b.schema.names
-        self.n = unpacked(get("n")) if "n" in names else None
-        self.found = structs(b.column("found")[i]) if "found" in names else None
-
-    def classes(self, hot: dict[bytes, tuple[int, int]]) -> np.ndarray:
-        """The class of each word; -1: none yet."""
-        cls = np.fromiter((hot[w][1] if w in hot else -1 for w in self.words), np.int64, len(self.words))
-        if self.found is not None:
-            cls[self.found[0]] = self.found[1]
-        return cls
-
-    def flat(self, numbers: np.ndarray, end: int, learn: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text (learn: of those learned from) the end, its words' numbers and the end, in one row; and where each begins."""
-        sizes, tokens = self.sizes, numbers[self.index]
-        if learn:
-            tokens, sizes = tokens[self.learn[self.doc]], sizes[self.learn]
-        out = np.full(len(tokens) + 2 * len(sizes), end, np.int64)
-        out[np.arange(len(tokens)) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1] = tokens
-        return out, np.append(0, np.cumsum(sizes + 2))
-
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows(part, batch, ...): each part in one task, its rows in a row."""
+    return rows.repartitionById(partitions(rows.sparkSession), F.col("part")).sortWithinPartitions("part", "batch")
 
-def structs(x: pa.ListScalar) -> tuple[np.ndarray, ...] | None:
-    """The fields of a list of structs, a row each."""
-    return None if x.values is None else tuple(x.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(x.values.type.num_fields))
 
-
-def coded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+def part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
+    """Each part of what dealt() returns, and the columns of its rows."""
+    last, held = None, []
+    table = lambda: pa.Table.from_batches(held).to_pydict()
     for b in batches:
-        for i in range(b.num_rows):
-            yield Batch(b, i)
+        part = b.column("part").to_numpy()
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
+        for at, end in zip(first, [*first[1:], len(part)], strict=True):
+            if part[at] != last and held:
+                yield last, table()
+                held = []
+            last = int(part[at])
+            held.append(b.slice(at, end - at))
+    if held:
+        yield last, table()
 
 
-def word_counts(batches: DataFrame) -> DataFrame:
-    """CODED -> (word, n, shape): how often each word was learned from."""
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins, and the end."""
+    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)]), len(x))
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in coded_batches(found):
-            n = np.bincount(b.index[b.learn[b.doc]], minlength=len(b.words))
-            at = np.flatnonzero(n)
-            yield from record_batches({"word": ([b.words[i] for i in at.tolist()], pa.binary()), "n": (n[at], pa.int64())})
 
-    def shaped(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            yield b.append_column("shape", pa.array(map(shape, b.column("word").to_pylist()), pa.int32()))
+SENT = "part int, batch long, places binary, words binary, lengths binary, n binary"
+MET = "part int, batch long, places binary, ids binary, n binary, shapes binary, word binary, id int, count long, shape int"
 
-    counts = batches.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.mapInArrow(shaped, "word binary, n long, shape int")
 
+def met_words(batches: DataFrame, parts: int) -> DataFrame:
+    """CODED -> for each batch and part the words' places in the batch, their numbers in the part, how often each was learned from, over
+    all batches, and their shapes; and, where batch is null, (part, id, word, count, shape) of each word that was learned from."""
 
-def attached(batches: DataFrame, vocabulary: DataFrame, value: str, hot: dict[bytes, tuple[int, int]]) -> DataFrame:
-    """CODED with found: of the batch's words that are not hot, (place, value) from vocabulary(word, value), where it has them."""
-    shared = batches.sparkSession.sparkContext.broadcast(hot)
+    def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for words, index, learn, sizes, batch in zip(*(b.column(c).to_pylist() for c in ("words", "index", "learn", "sizes", "batch")), strict=True):
+                if not words:
+                    continue
+                words, index, sizes = words.split(b" "), unpacked(index), unpacked(sizes)
+                learn = np.unpackbits(np.frombuffer(learn, np.uint8), count=len(sizes)).astype(bool)
+                n = np.bincount(index[np.repeat(learn, sizes)], minlength=len(words))
+                part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+                order = np.argsort(part, kind="stable")
+                part, n = part[order], n[order]
+                sorted_words = [words[i] for i in order.tolist()]
+                length = np.fromiter(map(len, sorted_words), np.int64, len(words))
+                cuts = runs(part).tolist()
+                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+                columns = [[packed(order[i:j]) for i, j in spans], [b"".join(sorted_words[i:j]) for i, j in spans], [packed(length[i:j]) for i, j in spans], [packed(n[i:j]) for i, j in spans]]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), pa.array([batch] * len(spans), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=names_of(SENT))
+
+    def meet(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in part_rows(found):
+            length, n = chained(rows["lengths"]).astype(np.int64), chained(rows["n"])
+            offsets, data = np.append(0, np.cumsum(length)), b"".join(rows["words"])
+            words = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).dictionary_encode()
+            ids, words = words.indices.to_numpy(), words.dictionary
+            total = np.bincount(ids, weights=n, minlength=len(words)).astype(np.int64)
+            kind = shapes(words)
+            at, out = 0, []
+            for places in rows["places"]:
+                own = ids[at : at + len(narrow(places))]
+                at += len(own)
+                out.append((packed(own), packed(total[own]), kind[own].astype(np.uint8).tobytes()))
+            back = [pa.array([part] * len(out), pa.int32()), pa.array(rows["batch"], pa.int64()), pa.array(rows["places"], pa.binary()), *(pa.array([x[i] for x in out], pa.binary()) for i in range(3))]
+            yield pa.RecordBatch.from_arrays([*back, pa.nulls(len(out), pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int32())], names=names_of(MET))
+            seen = np.flatnonzero(total)
+            none = [pa.nulls(len(seen), t) for t in (pa.int64(), *[pa.binary()] * 4)]
+            known = [words.cast(pa.binary()).take(pa.array(seen)), pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64()), pa.array(kind[seen], pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), part), pa.int32()), *none, *known], names=names_of(MET))
+
+    return dealt(batches.select("batch", "sizes", "learn", "words", "index").mapInArrow(send, SENT)).mapInArrow(meet, MET)
+
+
+def returned(batches: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """batches, each after the rows of answers(part, batch, ...) that belong to it."""
+    out = batches.withColumn("part", F.lit(None).cast("int"))
+    for x in answers:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out.repartition(partitions(batches.sparkSession), "batch").sortWithinPartitions("batch", F.asc_nulls_last("part"))
+
+
+def with_answers(found: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[dict, dict[str, list]]]:
+    """Each batch of what returned() returns, and the columns of its answers."""
+    held: dict[str, list] = {c: [] for c in columns}
+    for b in found:
+        for row in b.to_pylist():
+            if row["part"] is None:
+                yield row, held
+                held = {c: [] for c in columns}
+            else:
+                for c in columns:
+                    held[c].append(row[c])
+
+
+COUNTED = "batch long, ids binary, absent binary, learn binary, sizes binary, index binary, parts binary, words binary, n binary, shapes binary, top binary"
+
+
+def counted(batches: DataFrame, answers: DataFrame, top: list[int]) -> DataFrame:
+    """CODED and its answers -> COUNTED: the words, in another order, by their part and number there, how often each was learned from, its
+    shape, and its place among top (words as part << 32 | number), from 1 on; 0: not among them."""
+    order = np.argsort(np.array(top, np.int64))
+    shared = batches.sparkSession.sparkContext.broadcast((np.array(top, np.int64)[order], order))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        for b in found:
-            for batch, words in zip(b.column("batch").to_pylist(), b.column("words").to_pylist(), strict=True):
-                words = words.split(b" ") if words else []
-                at = [i for i, w in enumerate(words) if w not in hot]
-                yield from record_batches({"batch": (np.full(len(at), batch), pa.int64()), "place": (at, pa.int32()), "word": ([words[i] for i in at], pa.binary())})
+        known, rank = shared.value
+        for row, own in with_answers(found, ["part", "places", "ids", "n", "shapes"]):
+            part = np.repeat(np.array(own["part"], np.int64), [len(x) for x in own["shapes"]])
+            word, place = chained(own["ids"]).astype(np.int64), chained(own["places"])
+            order = np.lexsort((word, part))
+            part, word = part[order], word[order]
+            new = np.empty(len(order), np.int64)
+            new[place[order]] = np.arange(len(order))
+            top = np.zeros(len(order), np.int64)
+            if len(known):
+                code = part << 32 | word
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                top = np.where(known[at] == code, rank[at] + 1, 0)
+            shape = np.frombuffer(b"".join(own["shapes"]), np.uint8)[order].tobytes()
+            yield one_row(COUNTED, (*(row[c] for c in ("batch", "ids", "absent", "learn", "sizes")), packed(new[unpacked(row["index"])]), packed(part), packed(word), packed(chained(own["n"])[order]), shape, packed(top)))
+
+    return returned(batches.drop("words"), [answers.where("batch is not null").select("part", "batch", "places", "ids", "n", "shapes")]).mapInArrow(run, COUNTED)
 
-    rare = batches.select("batch", "words").mapInArrow(run, "batch long, place int, word binary").join(vocabulary.select("word", value), "word")
-    rare = rare.groupBy("batch").agg(F.collect_list(F.struct("place", value)).alias("found"))
-    return batches.join(rare, "batch", "left")
 
+class Batch:
+    """A row of COUNTED and the answers to it, (places, classes). learn: by document; doc: the document of each token."""
 
-def counted(batches: DataFrame, counts: DataFrame, hot: dict[bytes, tuple[int, int]]) -> DataFrame:
-    """CODED with n: how often each of the batch's words was learned from."""
-    shared = batches.sparkSession.sparkContext.broadcast(hot)
-    joined, names = attached(batches, counts, "n", hot), batches.columns
+    def __init__(self, row: dict, answers: dict[str, list] | None = None):
+        self.raw, self.answers = row, answers
+        self.index, self.sizes, self.n, self.top, self.parts, self.words = (unpacked(row[c]) for c in ("index", "sizes", "n", "top", "parts", "words"))
+        self.shapes = np.frombuffer(row["shapes"], np.uint8).astype(np.int64)
+        self.learn = np.unpackbits(np.frombuffer(row["learn"], np.uint8), count=len(self.sizes)).astype(bool)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        for b in found:
-            out = []
-            for i, words in enumerate(b.column("words").to_pylist()):
-                words = words.split(b" ") if words else []
-                n = np.fromiter((hot[w][0] if w in hot else 0 for w in words), np.int64, len(words))
-                if (rare := structs(b.column("found")[i])) is not None:
-                    n[rare[0]] = rare[1]
-                out.append(packed(n))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "n"])
+    def classes(self, top: np.ndarray) -> np.ndarray:
+        """The class of each word, by those of the top words and by answers; -1: none yet."""
+        cls = np.append(-1, top)[self.top]
+        cls[chained(self.answers["places"])] = chained(self.answers["classes"])
+        return cls
 
-    return joined.mapInArrow(run, f"{CODED}, n binary")
+    def flat(self, numbers: np.ndarray, end: int, learn: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text (learn: of those learned from) the end, its words' numbers and the end, in one row; and where each begins."""
+        sizes, tokens = self.sizes, numbers[self.index]
+        if learn:
+            tokens, sizes = tokens[self.learn[self.doc]], sizes[self.learn]
+        out = np.full(len(tokens) + 2 * len(sizes), end, np.int64)
+        out[np.arange(len(tokens)) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1] = tokens
+        return out, np.append(0, np.cumsum(sizes + 2))
 
 
 def followed(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,20 +310,16 @@ def gathered(counts: DataFrame, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def pair_counts(batches: DataFrame, frequent: list[bytes]) -> np.ndarray:
-    """How often each symbol follows each; at most (frequent + shapes + 1) squared numbers reach the driver."""
-    number, end = {w: i for i, w in enumerate(frequent)}, len(frequent)
-    size = end + 1 + SHAPES
+def pair_counts(batches: DataFrame, words: int) -> np.ndarray:
+    """How often each symbol follows each; at most (words + shapes + 1) squared numbers reach the driver. words: top words."""
+    size = words + 1 + SHAPES
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size**2, np.int64)
-        for b in coded_batches(found):
-            own = np.fromiter((number.get(w, -1) for w in b.words), np.int64, len(b.words))
-            rest = np.flatnonzero(own < 0)
-            own[rest] = end + 1 + b.shapes[rest]
-            x, y = followed(*b.flat(own, end))
-            code, n = np.unique(x * size + y, return_counts=True)
-            total[code] += n
+        for rows in found:
+            for b in map(Batch, rows.to_pylist()):
+                x, y = followed(*b.flat(np.where(b.top > 0, b.top - 1, words + 1 + b.shapes), words))
+                total += np.bincount(x * size + y, minlength=size**2)
         at = np.flatnonzero(total)
         yield from record_batches({"code": (at, pa.int64()), "n": (total[at], pa.int64())})
 
@@ -255,27 +351,23 @@ def inserted(counts: np.ndarray, shapes: np.ndarray, grid: np.ndarray, classes:
     return gain.argmax(axis=1)
 
 
-def binary_lists(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """The bytes of data from each cut to the next."""
-    offsets = (cuts * data.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-
+AROUND = "part int, batch long, places binary, words binary, shapes binary, sizes binary, codes binary, times binary, code long, n long"
+JOINED = "part int, batch long, places binary, classes binary, shape int, class int, n long, v long"
 
-AROUND = "word binary, codes binary, times binary, code long, n long"
 
-
-def joined(batches: DataFrame, hot: dict[bytes, tuple[int, int]], low: int, high: int, classes: int) -> DataFrame:
-    """Batches -> (word, n, shape, class) of the words without a class whose count is from low to high: each joins the class
-    that its neighbours' classes make likeliest. A task holds one word's counts at a time."""
+def joined(batches: DataFrame, answers: list[DataFrame], top: np.ndarray, low: int, high: int, classes: int) -> DataFrame:
+    """COUNTED and its answers -> the answers (part, batch, places, classes) for words without a class whose count is from low to high:
+    each joins the class that its neighbours' classes make likeliest; and, where batch is null, (shape, class, n, v), the tokens and
+    kinds of these words. A task counts 256 words at a time."""
     spark = batches.sparkSession
     total = classes + 1 + SHAPES
     width = 2 * total + 1
-    shared = spark.sparkContext.broadcast(hot)
-    names = [x.split()[0] for x in AROUND.split(", ")]
+    shared = spark.sparkContext.broadcast(top)
+    names = names_of(AROUND)
 
     def around(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = np.zeros(total**2, np.int64)
-        for b in coded_batches(found):
+        for b in (Batch(*x) for x in with_answers(found, ["places", "classes"])):
             cls = b.classes(shared.value)
             new = (cls < 0) & (b.n >= low) & (b.n <= high)
             cls = np.where(cls < 0, classes + 1 + b.shapes, cls)
@@ -290,53 +382,61 @@ def joined(batches: DataFrame, hot: dict[bytes, tuple[int, int]], low: int, high
             new_y &= ~itself
             held.append((y[new_y] - total) * width + total + cx[new_y])
             code, times = np.unique(np.concatenate(held), return_counts=True)
-            if not len(code):
-                continue
             word = code // width
-            cuts = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))
-            own = [b.words[i] for i in word[cuts[:-1]].tolist()]
-            none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), binary_lists((code % width).astype(np.uint8 if width < 256 else np.uint16), cuts), binary_lists(times.astype(np.int32), cuts), none, none], names=names)
+            code -= word * width
+            own = np.flatnonzero(new)  # also those that stand only in texts that are not learned from
+            if not len(own):
+                continue
+            size = np.bincount(word, minlength=len(new))[own]
+            ends = np.append(0, np.cumsum(size))
+            cuts = runs(b.parts[own])
+            out = [[], [], [], [], [], []]
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                here, k = own[i:j], slice(ends[i], ends[j])
+                for column, v in zip(out, (packed(here), packed(b.words[here]), b.shapes[here].astype(np.uint8).tobytes(), packed(size[i:j]), packed(code[k]), packed(times[k])), strict=True):
+                    column.append(v)
+            count = len(cuts) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(b.parts[own[cuts[:-1]]], pa.int32()), pa.array([b.raw["batch"]] * count, pa.int64()), *(pa.array(x, pa.binary()) for x in out), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64())], names=names)
         at = np.flatnonzero(grid)
-        none = pa.nulls(len(at), pa.binary())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at, pa.int64()), pa.array(grid[at], pa.int64())], names=names)
+        none = [pa.nulls(len(at), t) for t in (pa.int32(), pa.int64(), *[pa.binary()] * 6)]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int64()), pa.array(grid[at], pa.int64())], names=names)
 
-    met = staged(batches.mapInArrow(around, AROUND), "word-classes")
-    grid = gathered(met.where("word is null").select("code", "n"), total)
+    met = staged(returned(batches, answers).mapInArrow(around, AROUND), "word-classes")
+    grid = gathered(met.where("part is null").select("code", "n"), total)
 
     def join(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros((1, width))  # the last word may go on in the next batch
-
-        def out(words: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(words), 256):
-                own, part = words[at : at + 256], counts[at : at + 256]
-                leaves = np.fromiter(map(shape, own), np.int64, len(own))
-                c = inserted(part, classes + 1 + leaves, grid, classes)
-                n = part[:, total:].sum(axis=1).astype(np.int64)
-                yield from record_batches({"word": (own, pa.binary()), "n": (n, pa.int64()), "shape": (leaves, pa.int32()), "class": (c, pa.int32())})
-
-        for batch in found:
-            for at in range(0, batch.num_rows, 4096):
-                b = batch.slice(at, 4096)
-                words, codes, times = (b.column(i).to_pylist() for i in range(3))
-                first = [i for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
-                kinds = [words[i] for i in first]
-                counts = np.zeros((len(kinds), width))
-                sizes = [len(t) // 4 for t in times]
-                row = np.repeat(np.repeat(np.arange(len(kinds)), np.diff([*first, len(words)])), sizes)
-                code = np.frombuffer(b"".join(codes), np.uint8 if width < 256 else np.uint16)
-                np.add.at(counts, (row, code), np.frombuffer(b"".join(times), np.int32))
-                if last == kinds[0]:
-                    counts[0] += held[0]
-                elif last is not None:
-                    yield from out([last], held)
-                yield from out(kinds[:-1], counts[:-1])
-                last, held = kinds[-1], counts[-1:].copy()
-        if last is not None:
-            yield from out([last], held)
-
-    rows = met.where("word is not null").select("word", "codes", "times").repartition(partitions(spark), "word").sortWithinPartitions("word")
-    found = staged(rows.mapInArrow(join, "word binary, n long, shape int, class int"), "joined-words")
+        for part, rows in part_rows(found):
+            kinds, row = np.unique(chained(rows["words"]), return_inverse=True)
+            size, codes, times = (chained(rows[c]) for c in ("sizes", "codes", "times"))
+            size = size.astype(np.int64)
+            start = np.cumsum(size) - size
+            leaves, cls, n = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
+            leaves[row] = np.frombuffer(b"".join(rows["shapes"]), np.uint8)
+            order = np.argsort(row, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(kinds))))
+            for at in range(0, len(kinds), 256):
+                end = min(at + 256, len(kinds))
+                counts = np.zeros((end - at) * width)
+                for k in range(ends[at], ends[end], 2048):
+                    some = order[k : min(k + 2048, ends[end])]
+                    m = size[some]
+                    entry = np.arange(m.sum()) + np.repeat(start[some] - (np.cumsum(m) - m), m)
+                    counts += np.bincount(np.repeat(row[some] - at, m) * width + codes[entry], weights=times[entry], minlength=len(counts))
+                counts = counts.reshape(-1, width)
+                cls[at:end] = inserted(counts, classes + 1 + leaves[at:end], grid, classes)
+                n[at:end] = counts[:, total:].sum(axis=1)
+            out, at = [], 0
+            for x in rows["shapes"]:
+                out.append(packed(cls[row[at : at + len(x)]]))
+                at += len(x)
+            none = [pa.nulls(len(out), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array(rows["batch"], pa.int64()), pa.array(rows["places"], pa.binary()), pa.array(out, pa.binary()), *none], names=names_of(JOINED))
+            code, at = np.unique(leaves * classes + cls, return_inverse=True)
+            sums = (code // classes, code % classes, np.bincount(at, weights=n), np.bincount(at))
+            none = [pa.nulls(len(code), t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, *(pa.array(x.astype(np.int64)).cast(t) for x, t in zip(sums, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True))], names=names_of(JOINED))
+
+    found = staged(dealt(met.where("part is not null").drop("code", "n")).mapInArrow(join, JOINED), "joined-words")
     dropped(met)
     release(spark)
     return found
@@ -408,23 +508,22 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int) -> np.nda
 WALKED = "ids binary, absent binary, learn binary, sizes binary, classes binary, logs binary, known binary"
 
 
-def walked(batches: DataFrame, hot: dict[bytes, tuple[int, int]], classes: int, smooth: float) -> DataFrame:
-    """Batches -> a row each: its documents' classes (of end, words and end, a byte each), and of each document the sum of
+def walked(batches: DataFrame, answers: list[DataFrame], top: np.ndarray, classes: int, smooth: float) -> DataFrame:
+    """COUNTED and its answers -> a row each: its documents' classes (of end, words and end, a byte each), and of each document the sum of
     its words' log10(count + smooth) and its known words."""
-    shared = batches.sparkSession.sparkContext.broadcast(hot)
+    shared = batches.sparkSession.sparkContext.broadcast(top)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in coded_batches(found):
+        for b in (Batch(*x) for x in with_answers(found, ["places", "classes"])):
             n, cls = b.n, b.classes(shared.value)
             cls = np.where(cls < 0, classes + 1 + b.shapes, cls)
             flat, _ = b.flat(cls, classes, learn=False)
             size = len(b.sizes)
             logs = np.bincount(b.doc, weights=np.log10(n + smooth)[b.index], minlength=size)
             has = np.bincount(b.doc, weights=(n > 0)[b.index], minlength=size).astype(np.int64)
-            row = (b.raw("ids"), b.raw("absent"), b.raw("learn"), b.raw("sizes"), flat.astype(np.uint8).tobytes(), logs.tobytes(), packed(has))
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=[x.split()[0] for x in WALKED.split(", ")])
+            yield one_row(WALKED, (*(b.raw[c] for c in ("ids", "absent", "learn", "sizes")), flat.astype(np.uint8).tobytes(), logs.tobytes(), packed(has)))
 
-    return batches.mapInArrow(run, WALKED)
+    return returned(batches, answers).mapInArrow(run, WALKED)
 
 
 def class_pairs(rows: DataFrame, size: int) -> np.ndarray:
@@ -457,58 +556,47 @@ def score(docs: DataFrame, learn: Column, rules: Rules = Rules()) -> DataFrame:
     batch_limits(spark)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     smooth = rules.smooth
-    texts = staged(coded(marked, rules.batch), "coded-texts")
-    counts = staged(word_counts(texts), "word-counts")
+    texts = staged(coded(marked, rules.batch), "coded-texts", FILE)
+    sent = texts.agg(F.sum("kinds")).first()[0] or 0
+    parts = max(partitions(spark), -(-sent // rules.hot))
+    met = staged(met_words(texts, parts), "met-words")
     release(spark)
-    by_shape = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    top = counts.orderBy(F.desc("n"), F.desc("word")).limit(max(rules.hot, rules.frequent)).collect()
-    pairs = pair_counts(texts, [bytes(r.word) for r in top[: rules.frequent]])
-    words = min(len(top), rules.frequent)
-    classes = min(rules.classes, max(1, words))
-    cls = exchange(pairs, words, classes, rules.sweeps)[:words].tolist()
-    ends = int(pairs[words].sum())
-
-    # Hot words have counts above a least one, so that tables can tell them by their counts.
-    least = top[-1].n if len(top) == max(rules.hot, rules.frequent) else 0
-    hot = {bytes(r.word): (r.n, cls[i] if i < words else -1) for i, r in enumerate(top) if r.n > least or i < words}
-    moves = [(r["shape"], c, r.n, 1) for r, c in zip(top, cls, strict=False)]
-    coded_rows, texts = texts, staged(counted(texts, counts, hot), "counted-texts")
+    vocabulary = met.where("batch is null")
+    by_count = vocabulary.groupBy("shape", "count").agg(F.count(F.lit(1)).alias("v")).collect()
+    top = vocabulary.orderBy(F.desc("count"), F.desc("word")).limit(rules.frequent).select("part", "id", "count", "shape").collect()
+    coded_rows, texts = texts, staged(counted(texts, met, [r.part << 32 | r.id for r in top]), "counted-texts", FILE)
     dropped(coded_rows)
+    dropped(met)
     release(spark)
+    words = len(top)
+    pairs = pair_counts(texts, words)
+    classes = min(rules.classes, max(1, words))
+    cls = exchange(pairs, words, classes, rules.sweeps)[:words]
+    ends = int(pairs[words].sum())
+    moves = [(r["shape"], c, r["count"], 1) for r, c in zip(top, cls.tolist(), strict=True)]
+    rest = Counter()
+    for r in by_count:
+        rest[r["count"]] += r.v
+    rest.subtract(r["count"] for r in top)
     found: list[DataFrame] = []
 
-    def with_classes(least_known: int) -> DataFrame:
-        """The batches with the classes of words that are not hot, if words that rare have classes."""
-        if not found or least_known > least:
-            return texts
-        every = found[0].select("word", "class")
-        for x in found[1:]:
-            every = every.unionByName(x.select("word", "class"))
-        return attached(texts, every, "class", hot)
-
-    last = top[words - 1].n if words else 0
-    if len(top) > words:
-        edge = top[words - 1]
-        rest = counts.where((F.col("n") >= rules.floor) & ((F.col("n") < edge.n) | ((F.col("n") == edge.n) & (F.col("word") < F.lit(edge.word)))))
-        by_count = [(r.n, r["count"]) for r in rest.groupBy("n").count().orderBy(F.desc("n")).collect()]
-        for low, high in windows(by_count, words, rules.growth):
-            found.append(joined(with_classes(last), hot, low, high, classes))
-            moves += [tuple(r) for r in found[-1].groupBy("shape", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()]
-            for r in found[-1].where(F.col("n") > least).collect():
-                if bytes(r.word) in hot:
-                    hot[bytes(r.word)] = (r.n, r["class"])
-            last = low
+    def answers() -> list[DataFrame]:
+        return [x.where("batch is not null").select("part", "batch", "places", "classes") for x in found] or [spark.createDataFrame([], "part int, batch long, places binary, classes binary")]
+
+    for low, high in windows(sorted(((n, v) for n, v in rest.items() if n >= rules.floor and v), reverse=True), words, rules.growth):
+        found.append(joined(texts, answers(), cls, low, high, classes))
+        moves += [tuple(r) for r in found[-1].where("batch is null").groupBy("shape", "class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()]
 
     total = classes + 1 + SHAPES
-    rows = staged(walked(with_classes(last), hot, classes, smooth), "class-rows")
+    rows = staged(walked(texts, answers(), cls, classes, smooth), "class-rows", FILE)
     dropped(texts)
     grid = class_pairs(rows, total)
     uni = (grid.sum(axis=0) + smooth) / (grid.sum() + smooth * total)
     step = np.log10((grid + smooth * total * uni) / (grid.sum(axis=1, keepdims=True) + smooth * total))
     # Tokens and kinds of each class; words of the vocabulary leave their shape's class.
     tokens, kinds = np.zeros(total), np.zeros(total)
-    for r in by_shape:
-        tokens[classes + 1 + r["shape"]] += r.n
+    for r in by_count:
+        tokens[classes + 1 + r["shape"]] += r["count"] * r.v
         kinds[classes + 1 + r["shape"]] += r.v
     for s, c, n, v in moves:
         tokens[c] += n
@@ -519,8 +607,8 @@ def score(docs: DataFrame, learn: Column, rules: Rules = Rules()) -> DataFrame:
     within[classes] = 0.0  # the end is alone in its class
     within[:classes] = np.log10(np.maximum(tokens[:classes] + smooth * kinds[:classes], smooth))  # no unknown word is there
     step -= within[None, :]
-    n_all = int(sum(r.n for r in by_shape) + ends)
-    v_all = int(sum(r.v for r in by_shape) + (ends > 0))
+    n_all = int(sum(r["count"] * r.v for r in by_count) + ends)
+    v_all = int(sum(r.v for r in by_count) + (ends > 0))
     base, end_log, end_known = math.log10(n_all + 0.5 * (v_all + 1)), math.log10(ends + 0.5), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

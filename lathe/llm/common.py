@@ -33,13 +33,14 @@ def batch_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here and lost executors cost nothing before it."""
+def staged(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends here and lost executors cost nothing before it. rows: the most in
+    a file, for large rows, as readers and writers hold many of a file's rows at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     files, at = file_system(spark, path)
     files.deleteOnExit(at)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     STAGED[id(out)] = path
     return out

@@ -544,3 +544,26 @@ def test_small_batches_and_joined_words_score_alike(spark, small, docs):
         a, b = rows[0][d], rows[1][d]
         assert a.n_tokens == b.n_tokens == len(t.encode().split()) + 1 and a.n_known == b.n_known
         assert abs(a.score - b.score) < 1e-6 * abs(a.score) and abs(a.base_score - b.base_score) < 1e-6 * abs(a.base_score)
+
+
+def test_lm_memory_does_not_grow_with_a_task(spark, small, monkeypatch):
+    """However many batches one task makes, no file of batches holds more than a few of them, as readers and writers hold a file's rows
+    at once; and batches meet in parts, a row for each part and batch, not for each word."""
+    from pyspark.sql import functions as F
+
+    seen = {}
+    real = classlm.staged
+
+    def staged(df, name, *rest):
+        out = real(df, name, *rest)
+        seen[name] = (out.count(), out.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0])
+        if name == "met-words":
+            seen["answers"] = (out.where("batch is not null").count(), out.select("batch", "part").where("batch is not null").distinct().count())
+        return out
+
+    monkeypatch.setattr(classlm, "staged", staged)
+    frame = spark.read.parquet(f"{small}/documents.parquet").coalesce(1)
+    assert classlm.score(frame, F.lit(True), classlm.Rules(frequent=40, growth=3, batch=1 << 12)).count() == 200
+    for name in ("coded-texts", "counted-texts", "class-rows"):
+        assert seen[name][0] > 40 and seen[name][1] <= 8
+    assert seen["answers"][0] == seen["answers"][1] <= 4 * seen["coded-texts"][0]

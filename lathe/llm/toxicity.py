@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import batch_limits, rewritten, staged, texts
+from lathe.llm.common import batch_limits, release, rewritten, staged, texts
 
 #: What a sign may stand for, besides itself.
 LEET = {
@@ -264,70 +264,142 @@ def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.1
         w[:] = 0
 
 
-COUNTS = pa.schema([("kind", pa.string()), ("key", pa.string()), ("toxic", pa.int32()), ("texts", pa.int64()), ("n", pa.float64())])
+COUNTS = "key string, toxic int, texts long, n double"
 
 
-def fit(docs: DataFrame, labels: DataFrame, min_texts: int = 3, odds: float = 3.0, z: float = 1.64, size: int = 2000, sample: int = 30_000) -> ToxicityModel:
-    """Learns from rows of docs(doc_id, text) that labels(doc_id, toxic) marks; callers leave out what is held out.
+class TextCounts:
+    """Of each word and stem, by label: how many texts hold it, and how often. Texts are counted some at a time, as numbers."""
 
-    sample bounds the labels used: those first by the hash of their doc_id, over the whole table. So the texts that are learned
-    from are bounded too, and labels can be sent to all tasks.
+    TOKENS = 1 << 17
+
+    def __init__(self):
+        self.tokens: dict[str, int] = {}
+        self.keys: dict[str, int] = {}
+        self.of: list[list[int]] = []  # the keys of each token
+        self.texts, self.n = np.zeros((0, 2), np.int64), np.zeros((0, 2))
+        self.totals: dict[int, tuple[int, int]] = {}
+        self.held: list[tuple[np.ndarray, int]] = []
+        self.room = self.TOKENS
+
+    def token(self, t: str) -> int:
+        found = self.tokens.get(t)
+        if found is None:
+            found = self.tokens[t] = len(self.of)
+            plain = t.strip(PUNCTUATION)
+            self.of.append([self.keys.setdefault(f, len(self.keys)) for f in features(plain, STEMS)] if len(plain) > 2 and plain.isalpha() else [])
+        return found
+
+    def add(self, text: str, toxic: int) -> None:
+        tokens = text.lower().split()
+        self.held.append((np.fromiter(map(self.token, tokens), np.int64, len(tokens)), toxic))
+        a, m = self.totals.get(toxic, (0, 0))
+        self.totals[toxic] = a + 1, m + len(tokens)
+        self.room -= len(tokens)
+        if self.room <= 0:
+            self.count()
+
+    def count(self) -> None:
+        """Adds the texts held."""
+        size = np.array([len(x) for x, _ in self.held], np.int64)
+        toxic = np.array([x for _, x in self.held], np.int64)
+        token = np.concatenate([np.empty(0, np.int64), *(x for x, _ in self.held)])
+        self.held, self.room = [], self.TOKENS
+        used, token = np.unique(token, return_inverse=True)
+        code, n = np.unique(np.repeat(np.arange(len(size)), size) * max(1, len(used)) + token, return_counts=True)
+        doc, token = code // max(1, len(used)), code % max(1, len(used))
+        own = [self.of[i] for i in used.tolist()]
+        many = np.array([len(x) for x in own], np.int64)
+        flat, start = np.array([k for x in own for k in x], np.int64), np.cumsum(many) - many
+        many = many[token]
+        key = flat[np.repeat(start[token] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        code, at = np.unique(np.repeat(doc, many) * max(1, len(self.keys)) + key, return_inverse=True)
+        n = np.bincount(at, weights=np.repeat(n, many), minlength=len(code))
+        cell = code % max(1, len(self.keys)) * 2 + toxic[code // max(1, len(self.keys))]
+        more = len(self.keys) - len(self.texts)
+        self.texts, self.n = np.vstack((self.texts, np.zeros((more, 2), np.int64))), np.vstack((self.n, np.zeros((more, 2))))
+        self.texts += np.bincount(cell, minlength=2 * len(self.texts)).reshape(-1, 2)
+        self.n += np.bincount(cell, weights=n, minlength=2 * len(self.n)).reshape(-1, 2)
+
+    def rows(self) -> pa.RecordBatch:
+        """COUNTS of all that was added; a null key has the number of texts and of their words."""
+        self.count()
+        at, toxic = np.nonzero(self.texts)
+        keys = pa.array(list(self.keys), pa.string()).take(pa.array(at))
+        all_texts = [(x, *v) for x, v in self.totals.items()]
+        columns = [pa.concat_arrays([keys, pa.nulls(len(all_texts), pa.string())])]
+        for i, (have, kind) in enumerate(((toxic, np.int32), (self.texts[at, toxic], np.int64), (self.n[at, toxic], np.float64))):
+            columns.append(pa.array(np.append(have, [x[i] for x in all_texts]).astype(kind)))
+        return pa.RecordBatch.from_arrays(columns, names=["key", "toxic", "texts", "n"])
+
+
+def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of words -> (gram, n): three signs in a row, START twice before a word and END after it, n for each word."""
+    for b in batches:
+        words = [START + START + w + END for w in b.column("key").to_pylist()]
+        if not words:
+            continue
+        signs = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.array([len(w) for w in words])
+        inside = np.ones(len(signs), bool)
+        first = np.cumsum(size) - size
+        inside[first] = inside[first + 1] = False
+        at = np.flatnonzero(inside)
+        code, row = np.unique(signs[at - 2] << 42 | signs[at - 1] << 21 | signs[at], return_inverse=True)
+        n = np.bincount(row, weights=np.repeat(b.column("n").to_numpy(), size - 2))
+        low = (1 << 21) - 1
+        grams = [chr(c >> 42) + chr(c >> 21 & low) + chr(c & low) for c in code.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n, pa.float64())], names=["gram", "n"])
+
+
+def shorter_grams(grams: dict[str, float]) -> Counter:
+    """What char_grams() counts, from the trigrams alone."""
+    out: Counter = Counter()
+    for g, n in grams.items():
+        for key in (g[2], "", g[1:], "1" + g[1], g, "2" + g[:2]):
+            out[key] += n
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, min_texts: int = 3, odds: float = 3.0, z: float = 1.64, size: int = 2000) -> ToxicityModel:
+    """Learns from all rows of docs(doc_id, text) that labels(doc_id, toxic) marks; callers leave out what is held out.
 
     A word or stem joins the lexicon if at least min_texts different toxic texts hold it and the lower end of the interval of z
     standard errors of its odds ratio is over odds. Equal texts count once. size bounds the lexicon to the most telling; what
-    goes to the driver is bounded by it, by the trigrams of the alphabet and by sample. Rows whose label or text is null teach nothing; of several labels the largest counts.
+    goes to the driver is bounded by it, by the trigrams of the alphabet and by the curve's steps. Rows whose label or text is null
+    teach nothing; of several labels the largest counts. Labels and texts meet in a
+    sorted join; neither is bounded.
     """
     spark = docs.sparkSession
     batch_limits(spark)
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    marked = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    marked = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marked.hint("merge"), "doc_id")
     marked = marked.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("text").alias("h"))
     marked = staged(marked.dropDuplicates(["h", "toxic"]), "toxicity-marked")
+    release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, grams, totals, known = {}, Counter(), {}, {}
-
-        def flat() -> pa.RecordBatch:
-            for (w, _), (a, _) in held.items():
-                if not w.startswith(START):
-                    char_grams(w, float(a), grams)
-            rows = [("w", w, x, a, float(n)) for (w, x), (a, n) in held.items()] + [("n", "", x, a, float(n)) for x, (a, n) in totals.items()]
-            rows += [("g", g, 0, 0, n) for g, n in grams.items()]
-            held.clear(), grams.clear(), totals.clear(), known.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(COUNTS)], schema=COUNTS)
-
+        counts = TextCounts()
         for b in batches:
             for t, x in zip(texts(b.column("text")), b.column("toxic").to_pylist(), strict=True):
-                tokens = t.decode("utf-8", "replace").lower().split()
-                own: dict[str, int] = {}
-                for w, n in Counter(tokens).items():
-                    found = known.get(w)
-                    if found is None:
-                        plain = w.strip(PUNCTUATION)
-                        found = known[w] = features(plain, STEMS) if len(plain) > 2 and plain.isalpha() else []
-                    for f in found:
-                        own[f] = own.get(f, 0) + n
-                for f, n in own.items():
-                    a, m = held.get((f, x), (0, 0))
-                    held[f, x] = a + 1, m + n
-                a, m = totals.get(x, (0, 0))
-                totals[x] = a + 1, m + len(tokens)
-            if len(held) > 1_000_000:
-                yield flat()
-        yield flat()
+                counts.add(t.decode("utf-8", "replace"), x)
+                if len(counts.keys) > 1_000_000:
+                    yield counts.rows()
+                    counts = TextCounts()
+        yield counts.rows()
 
     if_toxic = lambda c, x: F.sum(F.when(F.col("toxic") == x, F.col(c)).otherwise(0))
-    counts = marked.select("text", "toxic").mapInArrow(run, "kind string, key string, toxic int, texts long, n double")
-    counts = counts.groupBy("kind", "key").agg(if_toxic("texts", 1).alias("a"), if_toxic("texts", 0).alias("b"), if_toxic("n", 1).alias("na"), if_toxic("n", 0).alias("nb"))
-    counts = staged(counts.where("kind <> 'w' or a > 0"), "toxicity-counts")
-    all_texts = next(((r.a, r.b, r.na, r.nb) for r in counts.where("kind = 'n'").collect()), (0, 0, 0.0, 0.0))
+    counts = marked.select("text", "toxic").mapInArrow(run, COUNTS)
+    counts = counts.groupBy("key").agg(if_toxic("texts", 1).alias("a"), if_toxic("texts", 0).alias("b"), if_toxic("n", 1).alias("na"), if_toxic("n", 0).alias("nb"))
+    stem = F.col("key").startswith(START)
+    counts = staged(counts.where(F.col("key").isNull() | ~stem | (F.col("a") > 0)), "toxicity-counts")
+    all_texts = next(((r.a, r.b, r.na, r.nb) for r in counts.where("key is null").collect()), (0, 0, 0.0, 0.0))
     bad, good, words_bad, words_good = all_texts
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     low = F.log(a * (good + 1 - b) / ((bad + 1 - a) * b)) - z * F.sqrt(1 / a + 1 / b + 1 / (bad + 1 - a) + 1 / (good + 1 - b))
-    best = counts.where(f"kind = 'w' and a >= {min_texts}").withColumn("low", low).where(F.col("low") > math.log(odds)).orderBy(F.desc("low"), "key").limit(size).collect()
+    best = counts.where(f"key is not null and a >= {min_texts}").withColumn("low", low).where(F.col("low") > math.log(odds)).orderBy(F.desc("low"), "key").limit(size).collect()
     lexicon = {r.key: max(0.1, math.log((r.na + 0.5) / (words_bad + 1)) - math.log((r.nb + 0.5) / (words_good + 1))) for r in best}
-    grams = Counter({r.key: r.nb for r in counts.where("kind = 'g'").collect()})
+    grams = counts.where(~stem).select("key", (F.col("a") + F.col("b")).cast("double").alias("n")).mapInArrow(trigrams, "gram string, n double")
+    grams = shorter_grams({r.gram: r.n for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).collect()})
     whole = [r for r in best if not r.key.startswith(START)]
     for r in whole:  # the words that obfuscation aims at weigh as much as all others together
         char_grams(r.key, r.na * max(1.0, grams[""] / (8.0 * sum(x.na for x in whole))), grams)

@@ -142,6 +142,23 @@ def test_toxicity_edges(spark):
     assert toxicity.keep_clean(documents(spark), nothing).count() == len(ROWS)
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """Also from those that a bounded sample by the hash of the doc_id would leave out."""
+    from pyspark.sql import functions as F
+
+    ids = [r.id for r in spark.range(33_000).orderBy(F.xxhash64("id"), "id").collect()]
+    late = spark.createDataFrame([(i, 1) for i in ids[-300:]], "id long, late int")
+    frame = spark.range(33_000).join(late, "id", "left").withColumn("toxic", F.coalesce("late", F.lit(0)))
+    own = F.translate(F.col("id").cast("string"), "0123456789", "qwzxvkjyuh")  # no common words
+    docs = frame.select(F.col("id").alias("doc_id"), F.when(F.col("toxic") > 0, F.concat(F.lit("you blorghet "), own)).otherwise(F.concat(F.lit("plain words "), own)).alias("text"))
+    model = toxicity.fit(docs, frame.select(F.col("id").alias("doc_id"), "toxic"))
+    assert "blorghet" in model.lexicon and "plain" not in model.lexicon
+    grams, words = Counter(), {"you": 300.0, "blorghet": 300.0, "plain": 32_700.0, "words": 32_700.0}
+    for w, n in words.items():
+        toxicity.char_grams(w, n, grams)
+    assert model.chars["pla"] == grams["pla"] and toxicity.shorter_grams({g: n for g, n in grams.items() if len(g) == 3 and g[0] != "2"}) == grams
+
+
 # Packing
 
 

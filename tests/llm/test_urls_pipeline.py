@@ -127,3 +127,19 @@ def without_repeats(docs: dict, size: int) -> dict:
             seen.add(window)
         out[d] = b"".join(w for w, g in zip(own, gone) if not g) if any(gone) else docs[d]
     return out
+
+
+def test_pipeline_learns_toxicity_from_all_labels(spark, tmp_path):
+    """A toxic word that only labels beyond 30,000 of the table mark is known to the stage."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    ids = [r.id for r in spark.range(33_000).orderBy(F.xxhash64("id"), "id").collect()]
+    late = spark.createDataFrame([(i, 1) for i in ids[-300:]], "id long, late int")
+    frame = spark.range(33_000).join(late, "id", "left").withColumn("toxic", F.coalesce("late", F.lit(0)))
+    frame.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    own = F.translate(F.col("id").cast("string"), "0123456789", "qwzxvkjyuh")  # no common words
+    docs = frame.select(F.col("id").alias("doc_id"), F.when(F.col("toxic") > 0, F.concat(F.lit("you blorghet "), own)).otherwise(F.concat(F.lit("plain words "), own)).alias("text"))
+    kept = corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path))
+    assert kept.count() == 32_700 and kept.where(F.col("text").contains("blorghet")).count() == 0

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,9 +141,10 @@ class PieceModel:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Puts new words into the cache: ids as decimal text, their number, and the bytes they decode to."""
+        """Puts new words into the cache: ids as decimal text, their number, and the bytes they decode to. A full cache keeps what is
+        known of words."""
         if len(self.cache) > self.LIMIT:
-            self.cache.clear()
+            self.cache = {w: self.cache[w] for w in words & self.cache.keys()}
             self.signs.clear()
         new = list(words - self.cache.keys())
         for at in range(0, len(new), 20_000):
@@ -158,6 +160,12 @@ class PieceModel:
         return decoded(b"".join([self.raw[i] for i in ids]))
 
 
+@lru_cache(maxsize=1)
+def piece_model(definition: bytes) -> PieceModel:
+    """The model, and the words it knows by now, for all tasks of a worker."""
+    return PieceModel(definition)
+
+
 def decoded(raw: bytes) -> str:
     return raw.removeprefix(b" ").decode("utf-8", "replace")
 
@@ -166,13 +174,14 @@ def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256 (ids as decimals apart by commas), decoded_sha256.
 
     Null and empty texts have no ids; null ids pass through; repeated rows are each encoded. No shuffle: the model (bounded by
-    its file) goes to each task, and each distinct word is merged once per task.
+    its file) goes to each task, and each distinct word is merged once, as long as the bounded cache
+    of a worker has it.
     """
     batch_limits(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(shared.value)
+        pieces = piece_model(shared.value)
         for b in batches:
             cut = [pieces.words(t.decode("utf-8", "replace")) for t in texts(b.column("text"))]
             held: set[str] = set()

@@ -584,3 +584,14 @@ def test_lm_memory_does_not_grow_with_a_task(spark, small, monkeypatch):
     for name in ("coded-texts", "counted-texts", "class-rows"):
         assert seen[name][0] > 40 and seen[name][1] <= 8
     assert seen["answers"][0] == seen["answers"][1] <= 4 * seen["coded-texts"][0]
+
+
+def test_a_full_cache_of_pieces_keeps_words_in_use(monkeypatch):
+    model = piece.piece_model(open(tokenizer("piece_bpe_32k.model"), "rb").read())
+    monkeypatch.setattr(model, "LIMIT", 2)
+    model.learn({"▁house", "▁tree", "▁river"})
+    known, merged, real = dict(model.cache), [], model.word_ids
+    monkeypatch.setattr(model, "word_ids", lambda words: merged.extend(words) or real(words))
+    model.learn({"▁tree", "▁cloud"})
+    assert merged == ["▁cloud"] and set(model.cache) == {"▁tree", "▁cloud"} and model.cache["▁tree"] == known["▁tree"]
+    assert piece.piece_model(open(tokenizer("piece_bpe_32k.model"), "rb").read()) is model

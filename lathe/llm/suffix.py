@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes that an equal string of fixed length covered earlier are removed.
 
-The array is built by grouping in linear time: suffixes are first put into groups by their Lyndon prefix, groups being taken in
-descending order and joined on by pointers to the previous smaller group; then each group's own order follows from suffixes already
-in place. No recursion, no renaming, no sorting.
+The array is built by prefix doubling: suffixes get ranks by as many first signs as fit in a number, then by twice as many with each
+round, from the rank of the suffix that begins where the known signs end. As only strings of a fixed size are compared, the rounds end
+as soon as that many signs are known.
 """
 
 from __future__ import annotations
@@ -23,107 +23,28 @@ from lathe.llm.regions import Hashes, Windows, ranks, repeated, unite, with_rows
 SIGNS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def suffix_array(text: bytes | list[int]) -> list[int]:
-    """Starts of all suffixes of text in ascending order."""
+def suffix_array(text: bytes | list[int], upto: int | None = None) -> list[int] | np.ndarray:
+    """Starts of all suffixes of text in ascending order; upto: as far as their first upto signs tell, others in any order."""
     n = len(text)
     if not n:
         return []
-    kinds: dict[int, list[int]] = {}
-    for i, c in enumerate(text):
-        kinds.setdefault(c, []).append(i)
-    place = [0] * n  # suffix -> its place in order
-    order = [0] * n
-    group = [0] * n  # suffix -> first place of its group
-    count = [0] * n  # first place -> suffixes in the group
-    at = 0
-    for c in sorted(kinds):
-        members = kinds[c]
-        count[at] = len(members)
-        for j, i in enumerate(members, at):
-            order[j] = i
-            place[i] = j
-            group[i] = at
-        at += len(members)
-    smaller = [-2] * n  # suffix -> nearest one before it whose group is lower; -2 while its group is not final
-    # First phase. All groups above `top` are final. Lyndon prefixes of lower suffixes grow by the group's own.
-    top = n
-    while top:
-        i = order[top - 1]
-        first = group[i]
-        if first == top - 1:  # one suffix alone
-            p = i - 1
-            while p >= 0 and group[p] >= first:
-                p = smaller[p]
-            smaller[i] = p
-            top = first
-            if p >= 0:
-                g = group[p]
-                if count[g] > 1:
-                    count[g] -= 1
-                    e = g + count[g]
-                    j, other = place[p], order[e]
-                    order[e], order[j] = p, other
-                    place[p], place[other] = e, j
-                    group[p] = e
-                    count[e] = 1
-            continue
-        hits: dict[int, int] = {}
-        for i in order[first:top]:
-            if smaller[i] == -2:
-                # What lies between two of the group is higher, so those met on the way have the same pointer.
-                chain, p = [i], i - 1
-                while p >= 0 and group[p] >= first:
-                    if smaller[p] == -2:
-                        chain.append(p)
-                        p -= 1
-                    else:
-                        p = smaller[p]
-                for j in chain:
-                    smaller[j] = p
-                if p >= 0:
-                    hits[p] = hits.get(p, 0) + len(chain)
-        top = first
-        if not hits:
-            continue
-        # Those followed by the group most often come last in their own groups, as new groups: by falling number, without sorting.
-        by: list[dict[int, list[int]]] = [{} for _ in range(max(hits.values()))]
-        for p, k in hits.items():
-            by[k - 1].setdefault(group[p], []).append(p)
-        for found in reversed(by):
-            for g, members in found.items():
-                rest = count[g] - len(members)
-                if not rest:
-                    continue
-                e = g + count[g]
-                for p in members:
-                    e -= 1
-                    j, other = place[p], order[e]
-                    order[e], order[j] = p, other
-                    place[p], place[other] = e, j
-                for p in members:
-                    group[p] = e
-                count[g] = rest
-                count[e] = len(members)
-    # Second phase. The end of text stands before all; a suffix in place puts those behind it, whose next smaller it is.
-    out = [-1] * n
-    free = list(range(n))
-    placed = bytearray(n)
-    j = n - 1
-    while j >= 0 and not placed[j]:
-        g = group[j]
-        out[free[g]] = j
-        free[g] += 1
-        placed[j] = 1
-        j = smaller[j]
-    for i in range(n):
-        j = out[i] - 1
-        while j >= 0 and not placed[j]:
-            g = group[j]
-            out[free[g]] = j
-            free[g] += 1
-            placed[j] = 1
-            j = smaller[j]
-    return out
+    signs = np.frombuffer(text, np.uint8).astype(np.int64) if isinstance(text, bytes) else np.unique(text, return_inverse=True)[1].astype(np.int64)
+    base, width, key = int(signs.max()) + 2, 0, np.zeros(n, np.int64)
+    while width == 0 or (width + 1 < n and base ** (width + 1) < 1 << 62):  # the first signs in one number; behind the end is 0
+        key *= base
+        key[: n - width] += signs[width:] + 1
+        width += 1
+    while True:
+        order = np.argsort(key)
+        key = key[order]
+        step = np.append(0, np.cumsum(key[1:] != key[:-1]))
+        if step[-1] == n - 1 or width >= (upto or n):
+            return order if upto else order.tolist()
+        rank = np.empty(n, np.int64)
+        rank[order] = step
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:] + 1
+        width *= 2
 
 
 def repeats(pieces: list[bytes], starts: list[int], order: list[tuple[int, int, int]], size: int, block: int = 1 << 16) -> list[np.ndarray]:
@@ -149,7 +70,7 @@ def repeats(pieces: list[bytes], starts: list[int], order: list[tuple[int, int,
         inside = np.zeros(len(text), bool)
         inside[valid - np.repeat(shift, np.diff(np.append(np.searchsorted(valid, first), len(valid))))] = True
         # Strings of size bytes that begin at valid places lie inside their run, so no separators are needed.
-        array = np.array(suffix_array(text), np.int64)
+        array = suffix_array(text, size)
         array = array[inside[array]]
         array += shift[np.searchsorted(np.cumsum(lengths), array, side="right")]
         views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(flat, np.uint8), size)

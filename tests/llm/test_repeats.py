@@ -177,3 +177,15 @@ def test_words_of_slices():
         words, index, offsets = split_words(column.slice(at, n), lower=True)
         want = [(t or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split() for t in texts[at : at + n]]
         assert [[words[i] for i in index[a:b]] for a, b in zip(offsets[:-1], offsets[1:])] == want
+
+
+def test_suffix_array_as_far_as_signs_tell():
+    """Strings of a fixed size are put in order by rounds that end with that size, also where whole suffixes are alike for long."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(97, 99, 3000).astype(np.uint8).tobytes(), b"ab" * 2000, b"x" * 500, bytes(range(256)) * 9, b"q"]
+    for s in texts:
+        for upto in (1, 7, 8, 100):
+            order = suffix.suffix_array(s, upto)
+            assert sorted(order.tolist()) == list(range(len(s)))
+            cut = [s[i : i + upto] for i in order.tolist()]
+            assert cut == sorted(cut)
